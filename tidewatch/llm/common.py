@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 U64 = np.uint64
 #: Base of the polynomial hashes and its inverse, modulo 2**64. Any odd number has an inverse.
 BASE = 0x9E3779B97F4A7C15
@@ -16,6 +18,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def keep(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder."""
+    ship(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -75,13 +79,15 @@ def prefix_hashes(codes: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII other than letters and digits.
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs without ASCII white space, A-Z lower-cased) of all texts in a row, and the words' number in each text."""
+def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs without ASCII white space or what else stands between them, A-Z lower-cased) of all texts in a row, and the words' number in each text."""
     buf = b"\n".join(texts).lower() + b"\n"
     codes = np.frombuffer(buf, dtype=np.uint8)
-    inside = ~_SPACE[codes]
+    inside = ~between[codes]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=np.int8(0)))
     starts, ends = edge[0::2], edge[1::2]
     p = prefix_hashes(codes)

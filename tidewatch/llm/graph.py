@@ -2,26 +2,57 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
 
+#: 16 bytes an edge: one task can hold so many.
+LOCAL_EDGES = 1_000_000
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _local(batches):
+    """All edges of a bounded table in one task: minima along edges and through labels until nothing changes."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not got:
+        return
+    u, v = (np.concatenate(x) for x in zip(*got))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, low[a], low[b])
+        np.minimum.at(new, low[b], low[a])
+        new = new[low]
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[low], pa.int64())], names=["node", "component"])
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(a, b) rows to (node long, component long): the smallest node that each node reaches.
 
     Nulls and self-links are left out, repeated rows count once, and nodes without a link to another node are not returned.
-    Minima are aggregated before the shuffle and joined back by sort-merge joins, whose large keys Spark splits, so that a hub needs no task of its own.
+    Up to local_edges edges, counted first, one executor task does it; beyond that it goes in rounds over the whole cluster: minima
+    are aggregated before the shuffle and joined back by sort-merge joins, whose large keys Spark splits, so that a hub needs no task of its own.
     """
     e = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"), (F.col("a") != F.col("b")).alias("ok")).where("ok").select("u", "v").distinct()
     e = keep(e)
+    n = e.count()
+    if n <= local_edges:
+        return keep(e.coalesce(1).mapInArrow(_local, "node long, component long"))
     mark = _mark(e)
-    while mark[0]:
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -32,3 +63,15 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == last:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def relabel(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) with more links (a, b) among any nodes."""
+    ends = []
+    for x in ("a", "b"):
+        links = links.join(found.select(F.col("node").alias(x), F.col("component").alias(f"{x}_own")), x, "left")
+        ends.append(F.coalesce(f"{x}_own", x))
+    joined = components(links.select(ends[0].alias("a"), ends[1].alias("b")))
+    to = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    old = found.join(to, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return keep(old.unionByName(joined.join(found.select("node"), "node", "left_anti")))

@@ -6,7 +6,8 @@ groups in which every link lies; a group is searched as an inverted index of its
 with a partner, the T - s longest of its lists are set aside, the others are merged on a heap for what stands in at least s
 of them, and each such document is probed for in the long lists by binary search until T is reached or can't be (DivideSkip).
 
-Groups of any size are cut into blocks of BLOCK documents. Within a block all pairs are searched. Across the blocks of a group a few queries
+Groups of more than BLOCK documents are routed again, by other hashes and within the group, as chance that joined unrelated documents rarely does so
+twice. What is still larger is cut into blocks of BLOCK documents. Within a block all pairs are searched. Across the blocks of a group a few queries
 at a time meet all blocks, beginning with one; those that are linked to the group's largest component by then need no more, and
 rounds go on until every other document has been a query. No link between different sets is lost, and no round makes pairs.
 """
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, arrow_rows, in_chunks, keep, mix, shingle_hashes, word_hashes
-from .graph import components
+from .graph import components, relabel
 
 #: Documents searched against each other in one task.
 BLOCK = 96
 #: Elements that occur in so many documents of a drawn sample are common, in tiers. They steer the routing and change no result.
 SAMPLE_DOCS, TIERS, MAX_COMMON = 20_000, (2, 200), 500_000
+#: Times that large groups are routed again.
+REROUTES = 2
 #: Queries of a group that meet all of its blocks in one round after the first, and how their number grows.
 QUERIES, QUERY_GROWTH = 8, 8
 #: DivideSkip's trade-off between merging and probing.
@@ -280,54 +283,76 @@ def common_shingles(docs: DataFrame, k: int, sample_docs: int = SAMPLE_DOCS) ->
     return tuple(t for t in tiers if len(t))
 
 
-def route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, text) to rows _ROUTED: the size of each document's set, and pairs of documents that chain up those with a signature in common."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
+def _flush(sig: list[np.ndarray], who: list[tuple[int, int, int]]):
+    ids, each, size = (np.array(x, dtype=np.int64) for x in zip(*who))
+    yield _batch(_SIZE, _key(ids), ids, size)
+    keys, doc = np.concatenate(sig).view(np.int64), np.repeat(ids, each)
+    if len(keys):
+        # those of one signature in a chunk meet here, and the first goes on for all
+        first, a, b = _star(keys, doc)
+        yield _batch(_SIGNATURE, keys[first], doc[first], doc[first])
+        if len(a):
+            yield _batch(_PAIR, _key(a, b), a, b)
+
+
+def _meet(batches):
+    """A stream ordered by (kind, key, a): links each signature's documents with its first."""
+    last_key = last_hub = None
+    for b in batches:
+        plain = b.column(0).to_numpy(zero_copy_only=False) == _SIGNATURE
+        if not plain.all():
+            yield b.filter(pa.array(~plain))
+        key, a = (b.column(i).to_numpy(zero_copy_only=False)[plain] for i in (1, 2))
+        if not len(key):
+            continue
+        new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
+        hubs = np.concatenate([a[new], [0 if last_hub is None else last_hub]])
+        hub = hubs[np.cumsum(new) - 1]  # the last entry, -1, is the hub of the batch before
+        last_key, last_hub = key[-1], hub[-1]
+        other = ~new & (hub != a)
+        if other.any():
+            pairs = np.unique(np.stack([hub[other], a[other]], axis=1), axis=0)
+            yield _batch(_PAIR, np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
 
-    def flush(sig, who):
-        ids, each, size = (np.array(x, dtype=np.int64) for x in zip(*who))
-        yield _batch(_SIZE, _key(ids), ids, size)
-        keys, doc = np.concatenate(sig).view(np.int64), np.repeat(ids, each)
-        if len(keys):
-            # those of one signature in a chunk meet here, and the first goes on for all
-            first, a, b = _star(keys, doc)
-            yield _batch(_SIGNATURE, keys[first], doc[first], doc[first])
-            if len(a):
-                yield _batch(_PAIR, _key(a, b), a, b)
+
+def _routed(rows: DataFrame, signed) -> DataFrame:
+    """rows to _ROUTED rows: each document's set size, and pairs that chain up documents with a signature in common. signed: batches to (id, size, signatures)."""
 
     def deal(batches):
-        sig, who, rows = [], [], 0
-        for d, h in _sets(arrow_rows(batches, "doc_id", "text"), k):
-            sig.append(signatures(h, num, den, shared.value))
-            who.append((d, len(sig[-1]), len(h)))
-            rows += len(sig[-1])
-            if rows > 1 << 20:
-                yield from flush(sig, who)
-                sig, who, rows = [], [], 0
+        sig, who, n = [], [], 0
+        for d, size, s in signed(batches):
+            sig.append(s)
+            who.append((d, len(s), size))
+            n += len(s)
+            if n > 1 << 20:
+                yield from _flush(sig, who)
+                sig, who, n = [], [], 0
         if who:
-            yield from flush(sig, who)
-
-    def meet(batches):
-        # a stream ordered by (kind, key, a); links each signature's documents with its first
-        last_key = last_hub = None
-        for b in batches:
-            kind = b.column(0).to_numpy(zero_copy_only=False)
-            plain = kind == _SIGNATURE
-            if not plain.all():
-                yield b.filter(pa.array(~plain))
-            key, a = (b.column(i).to_numpy(zero_copy_only=False)[plain] for i in (1, 2))
-            if not len(key):
-                continue
-            new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-            hubs = np.concatenate([a[new], [0 if last_hub is None else last_hub]])
-            hub = hubs[np.cumsum(new) - 1]  # the last entry, -1, is the hub of the batch before
-            last_key, last_hub = key[-1], hub[-1]
-            other = ~new & (hub != a)
-            if other.any():
-                pairs = np.unique(np.stack([hub[other], a[other]], axis=1), axis=0)
-                yield _batch(_PAIR, np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
-
-    return docs.mapInArrow(deal, _ROUTED).repartition("key").sortWithinPartitions("kind", "key", "a").mapInArrow(meet, _ROUTED)
+            yield from _flush(sig, who)
+
+    return rows.mapInArrow(deal, _ROUTED).repartition("key").sortWithinPartitions("kind", "key", "a").mapInArrow(_meet, _ROUTED)
+
+
+def route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, text) to _ROUTED rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
+
+    def signed(batches):
+        for d, h in _sets(arrow_rows(batches, "doc_id", "text"), k):
+            yield d, len(h), signatures(h, num, den, shared.value)
+
+    return _routed(docs, signed)
+
+
+def reroute(members: DataFrame, num: int, den: int, seed: int) -> DataFrame:
+    """(doc_id, component, h) to (node, component): smaller groups within the given ones; documents alone are left out."""
+
+    def signed(batches):
+        for d, c, h in arrow_rows(batches, "doc_id", "component", "h"):
+            x = np.sort(mix(np.frombuffer(h, dtype=U64) ^ U64(0x5851F42D4C957F2D * (seed + 1) & (2**64 - 1))))
+            yield d, len(x), mix(signatures(x, num, den) ^ mix(np.array([c], dtype=np.int64).view(U64)))
+
+    return components(_routed(members.select("doc_id", "component", "h"), signed).where(F.col("kind") == _PAIR).select("a", "b"))
 
 
 def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -353,45 +378,55 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     met = keep(route(docs, k, num, den))
     sizes = met.where(F.col("kind") == _SIZE).groupBy(F.col("a").alias("doc_id")).agg(F.max("b").alias("n_shingles"))
     coarse = components(met.where(F.col("kind") == _PAIR).select("a", "b"))
-    counts = keep(coarse.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"))
-    member = coarse.join(counts, "component", "left").select(F.col("node").alias("doc_id"), "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
 
     def sets(batches):
-        for d, c, n, h in _sets(arrow_rows(batches, "doc_id", "component", "blocks", "text"), k):
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((d, pa.int64()), (c, pa.int64()), (n, pa.int64()), (h.tobytes(), pa.binary()))], names=["doc_id", "component", "blocks", "h"])
-
-    members = docs.join(member.hint("shuffle_hash"), "doc_id").select("doc_id", "component", "blocks", "text")
-    members = keep(members.mapInArrow(sets, "doc_id long, component long, blocks long, h binary").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
-    plain = members.select("component", "salt", "doc_id", "h", F.lit(False).alias("q"))
+        for d, h in _sets(arrow_rows(batches, "doc_id", "text"), k):
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([h.tobytes()], pa.binary())], names=["doc_id", "h"])
 
-    def visit(queries: DataFrame) -> DataFrame:
+    held = keep(docs.join(coarse.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, h binary"))
+    group = coarse
+    for seed in range(REROUTES):
+        large = keep(group.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > block).select("component"))
+        if large.isEmpty():
+            break
+        within = group.join(large, "component").select(F.col("node").alias("doc_id"), "component")
+        group = keep(group.join(large, "component", "left_anti").unionByName(reroute(held.join(within, "doc_id"), num, den, seed)))
+    counts = keep(group.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"))
+    member = group.join(counts, "component", "left").select(F.col("node").alias("doc_id"), "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    members = held.join(member, "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    several = not counts.isEmpty()
+    if several:
+        members = keep(members)
+
+    def visit(queries: DataFrame, q: bool) -> DataFrame:
         """Queries in each block but their own."""
         at = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("salt")))
-        return queries.select("component", at.alias("salt"), "doc_id", "h")
-
-    hubs = visit(members.where("blocks > 1 AND doc_id = component")).withColumn("q", F.lit(False))
-    links = keep(_search(plain.unionByName(hubs.select(*plain.columns)), num, den))
-    found = components(links)
-    large = members.where("blocks > 1").select("doc_id", "component").distinct()
-    if not counts.isEmpty():
-        asked = large.where("doc_id = component").select("doc_id")
+        return queries.select("component", at.alias("salt"), "doc_id", "h", F.lit(q).alias("q"))
+
+    first = members.select("component", "salt", "doc_id", "h", F.lit(False).alias("q"))
+    if several:
+        first = first.unionByName(visit(members.where("blocks > 1 AND doc_id = component"), False))
+    found = components(_search(first, num, den))
+    if several:
+        wide = keep(members.where("blocks > 1"))
+        large = keep(wide.select("doc_id", F.col("component").alias("group")).distinct())
+        asked = large.where(F.col("doc_id") == F.col("group")).select("doc_id")
         budget = QUERIES
         while True:
-            state = keep(large.join(found, large["doc_id"] == found["node"], "left").select("doc_id", large["component"], F.coalesce(found["component"], F.col("doc_id")).alias("own")))
-            sizes_ = state.groupBy("component", "own").agg(F.count("*").alias("n"))
-            main = keep(sizes_.groupBy("component").agg(F.max_by("own", F.struct("n", "own")).alias("main")))
-            rest = keep(state.join(main, "component").where("own != main").select("doc_id", "component").join(asked, "doc_id", "left_anti"))
-            waiting = keep(rest.groupBy("component").agg(F.count("*").alias("n")))
+            state = large.join(found, large["doc_id"] == found["node"], "left").select("doc_id", "group", F.coalesce("component", "doc_id").alias("own"))
+            state = keep(state)
+            main = keep(state.groupBy("group", "own").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("own", F.struct("n", "own")).alias("main")))
+            rest = keep(state.join(main, "group").where("own != main").select("doc_id", "group").join(asked, "doc_id", "left_anti"))
+            waiting = keep(rest.groupBy("group").agg(F.count("*").alias("n")))
             if waiting.isEmpty():
                 break
             # drawn by a hash, as many of each group as the budget has in expectation, and all of a group that has few
-            nxt = keep(rest.join(waiting, "component").where((F.col("n") <= 2 * budget) | (F.pmod(F.xxhash64("doc_id", F.lit(budget)), F.col("n")) < budget)).select("doc_id"))
-            active = members.join(waiting.select("component"), "component", "left_semi")
+            nxt = keep(rest.join(waiting, "group").where((F.col("n") <= 4 * budget) | (F.pmod(F.xxhash64("doc_id", F.lit(budget)), F.col("n")) < budget)).select("doc_id"))
+            active = wide.join(waiting.select(F.col("group").alias("component")), "component", "left_semi")
             index = active.select("component", "salt", "doc_id", "h", F.lit(False).alias("q"))
-            queries = visit(active.join(nxt, "doc_id", "left_semi")).withColumn("q", F.lit(True))
-            links = keep(links.unionByName(_search(index.unionByName(queries.select(*index.columns)), num, den)))
+            links = keep(_search(index.unionByName(visit(active.join(nxt, "doc_id", "left_semi"), True)), num, den))
+            found = relabel(found, links)
             asked = keep(asked.unionByName(nxt))
-            found = components(links)
             budget *= QUERY_GROWTH
     return sizes.join(found, sizes["doc_id"] == found["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
