@@ -1,0 +1,6 @@
+"""The registered queries: one for each operator, by name, with SQL that says the same where SQL can."""
+
+from . import aggregates, fate, filters, joins, ordering, windows
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "fate", "filters", "joins", "ordering", "windows"]
