@@ -116,20 +116,11 @@ def signatures(h: np.ndarray, num: int, den: int, common: tuple[np.ndarray, ...]
     return np.concatenate(out)
 
 
-def t_occurrence(lists: list[list[int]], t: int, mu: float = MU) -> dict[int, int]:
-    """Ids in at least t of the lists, ascending, and in how many they are, by DivideSkip."""
-    if t <= 0:
-        raise ValueError("t must be positive")
-    lists = sorted((x for x in lists if x), key=len)
-    if len(lists) < t:
-        return {}
-    n_long = min(t - 1, max(int(t / (mu * math.log2(max(2, len(lists[-1]))) + 1)), 0))
-    short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    need = t - n_long
+def merge_lists(short: list[list[int]], need: int):
+    """(id, occurrences) of the ids in at least need of the ascending lists, by a heap merge that skips what can't be."""
     heap = [(x[0], i) for i, x in enumerate(short)]
     heapq.heapify(heap)
     at = [0] * len(short)
-    out: dict[int, int] = {}
 
     def push(i: int, place: int) -> None:
         at[i] = place
@@ -142,19 +133,11 @@ def t_occurrence(lists: list[list[int]], t: int, mu: float = MU) -> dict[int, in
         while heap and heap[0][0] == top:
             popped.append(heapq.heappop(heap)[1])
         if len(popped) >= need:
-            n = len(popped)
-            for j, x in enumerate(reversed(long_)):
-                if n + len(long_) - j < t:
-                    break
-                place = bisect_left(x, top)
-                n += place < len(x) and x[place] == top
-            else:
-                if n >= t:
-                    out[top] = n
+            yield top, len(popped)
             for i in popped:
                 push(i, at[i] + 1)
         else:
-            # skip: need - 1 lists are taken off, and all of them go on to the new top at once
+            # need - 1 lists are taken off, and all of them go on to the new top at once
             while heap and len(popped) < need - 1:
                 popped.append(heapq.heappop(heap)[1])
             if not heap:
@@ -162,6 +145,29 @@ def t_occurrence(lists: list[list[int]], t: int, mu: float = MU) -> dict[int, in
             nxt = heap[0][0]
             for i in popped:
                 push(i, bisect_left(short[i], nxt, at[i]))
+
+
+def t_occurrence(lists: list[list[int]], t: int, n_long: int | None = None) -> dict[int, int]:
+    """Ids in at least t of the ascending lists, and in how many they are, by DivideSkip: the n_long longest lists (by default as many as
+    balance merging and probing) are set aside and probed by binary search for what the others leave, until t is out of reach."""
+    if t <= 0:
+        raise ValueError("t must be positive")
+    lists = sorted((x for x in lists if x), key=len)
+    if len(lists) < t:
+        return {}
+    if n_long is None:
+        n_long = int(t / (MU * math.log2(max(2, len(lists[-1]))) + 1))
+    n_long = max(0, min(t - 1, n_long))
+    long_ = lists[len(lists) - n_long :][::-1]
+    out = {}
+    for i, n in merge_lists(lists[: len(lists) - n_long], t - n_long):
+        for j, x in enumerate(long_):
+            if n + len(long_) - j < t:
+                break
+            place = bisect_left(x, i)
+            n += place < len(x) and x[place] == i
+        if n >= t:
+            out[i] = n
     return out
 
 
@@ -209,19 +215,28 @@ def search_block(sets: list[np.ndarray], num: int, den: int, queries: list[int]
         hi = r if asked is None else bisect_left(sizes, n * den // num + 1)
         if hi - lo < 1 or (hi - lo == 1 and lo == r):
             continue
-        lists = []
-        for x in sets[i].tolist():
-            own = index[x]
-            if len(own) > 1:
-                part = own[bisect_left(own, lo) : bisect_left(own, hi)] if lo or hi < len(distinct) else own
-                if part:
-                    lists.append(part)
         t = least_overlap(n, sizes[lo], num, den)
-        if len(lists) < t:
+        order = sorted(sets[i].tolist(), key=lambda x: len(index[x]))
+        # as many long lists as T allows: in a group of near copies nearly all lists hold nearly all of it, and the few that are left hold what is rare.
+        # An id has t occurrences only if it is in one of these.
+        short = []
+        for x in order[: n - t + 1]:
+            own = index[x]
+            if len(own) > 1 and (part := own[bisect_left(own, lo) : bisect_left(own, hi)]) and part != [r]:
+                short.append(part)
+        if not short:
             continue
-        for s, k in t_occurrence(lists, t).items():
-            if s != r and k >= least_overlap(n, sizes[s], num, den):
-                join(distinct[s], i)
+        # the long lists are probed from the candidate's side, by binary search for their elements in its own set
+        rest = np.array(order[n - t + 1 :], dtype=U64)
+        for c, found in merge_lists(short, 1):
+            j = distinct[c]
+            # what is joined already needs no verification
+            if c == r or find(j) == find(i):
+                continue
+            place = np.searchsorted(sets[j], rest)
+            place[place == len(sets[j])] = 0
+            if found + int((sets[j][place] == rest).sum()) >= least_overlap(n, sizes[c], num, den):
+                join(j, i)
     return out
 
 
