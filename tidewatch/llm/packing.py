@@ -56,12 +56,14 @@ def _complements(left: dict[int, int], lengths: list[int], gap: int) -> tuple[in
         if 2 * a < gap:
             break
         b = gap - a
-        if b > 0 and left.get(b, 0) > (a == b):
+        if b > 0 and left[a] > 0 and left.get(b, 0) > (a == b):
             return (a, b)
     for a in reversed(lengths[:at]):
         rest = gap - a
         if 3 * a < gap:
             break
+        if left[a] < 1:
+            continue
         for b in reversed(lengths[: bisect_right(lengths, min(a, rest))]):
             c = rest - b
             if c > b:
