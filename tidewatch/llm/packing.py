@@ -47,10 +47,12 @@ def pieces(docs: DataFrame, vocabulary: str = BYTE_BPE, capacity: int = CAPACITY
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _complements(left: dict[int, int], lengths: list[int], gap: int) -> tuple[int, ...] | None:
-    """One to three lengths in stock whose sum is gap; long ones first."""
+def _complements(left: dict[int, int], lengths: list[int], gap: int, parts: int = 3) -> tuple[int, ...] | None:
+    """One to `parts` lengths in stock whose sum is gap; long ones first."""
     if left.get(gap, 0) > 0:
         return (gap,)
+    if parts < 2:
+        return None
     at = bisect_right(lengths, gap)
     for a in reversed(lengths[:at]):
         if 2 * a < gap:
@@ -58,6 +60,8 @@ def _complements(left: dict[int, int], lengths: list[int], gap: int) -> tuple[in
         b = gap - a
         if b > 0 and left[a] > 0 and left.get(b, 0) > (a == b):
             return (a, b)
+    if parts < 3:
+        return None
     for a in reversed(lengths[:at]):
         rest = gap - a
         if 3 * a < gap:
@@ -74,7 +78,15 @@ def _complements(left: dict[int, int], lengths: list[int], gap: int) -> tuple[in
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """counts of each length from 1 to capacity, to patterns of lengths and how often each is used."""
+    """counts of each length from 1 to capacity, to patterns of lengths and how often each is used.
+
+    Triples fill more gaps exactly, but use up short pieces that other gaps need: of the plans with up to three, two and one pieces to a
+    gap the one with the fewest sequences is taken, and the first of equals.
+    """
+    return min((_plan(counts, capacity, parts) for parts in (3, 2, 1)), key=lambda p: sum(k for _, k in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
     left = {k: v for k, v in counts.items() if v > 0}
     lengths = sorted(left)
     out: list[tuple[tuple[int, ...], int]] = []
@@ -97,7 +109,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     while lengths:
         big = lengths[-1]
         left[big] -= 1  # the largest item itself is not part of its complement
-        found = _complements(left, lengths, capacity - big)
+        found = _complements(left, lengths, capacity - big, parts)
         left[big] += 1
         if found:
             take((big, *found), most((big, *found)))
