@@ -86,6 +86,7 @@ def jaccard(a: str, b: str) -> Column:
 
 
 def first_class(column: Column, order: tuple[str, ...] = ("tphase", "icequake", "vessel")) -> Column:
-    """Aggregate: the class of the group that comes first in order."""
+    """Aggregate: the class of the group that comes first in order; null for a group that has none of them."""
     rank = reduce(lambda acc, i: acc.when(column == order[i], i), range(1, len(order)), F.when(column == order[0], 0))
-    return F.element_at(F.array(*[F.lit(x) for x in order]), F.min(rank) + 1)
+    first = F.min(rank)
+    return reduce(lambda acc, i: acc.when(first == i, order[i]), range(1, len(order)), F.when(first == 0, order[0]))
