@@ -60,7 +60,7 @@ def g3_greedy_association(spark, sf):
 
 @plan()
 def g6_pruned_association(spark, sf):
-    return association.associate(catalogue(spark, sf), spatial=True, step=0.05, prefix="T", digits=7)
+    return association.associate(catalogue(spark, sf), spatial=True, prefix="T", digits=7)
 
 
 def _arrivals(spark, sf):
@@ -72,7 +72,7 @@ def _arrivals(spark, sf):
 @plan()
 def g7_to_g13_location(spark, sf):
     """Coarse and fine search, outlier, jackknife, tier and uncertainty of all associations."""
-    return location.locate_associations(_arrivals(spark, sf), step=0.05)
+    return location.locate_associations(_arrivals(spark, sf))
 
 
 @plan()
@@ -80,7 +80,7 @@ def g19_land_location(spark, sf):
     """Lineitems as phase picks of stations on a circle."""
     ring = F.radians(F.col("l_suppkey") % 36 * 10.0)
     picks = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("assoc_id"), F.col("l_suppkey").cast("string").alias("station"), F.when(F.col("l_returnflag") == "A", "P").otherwise("S").alias("phase"), (F.col("l_quantity") * 1_000_000).cast("long").alias("pick_us"), (F.col("l_discount") + 0.1).alias("probability"), (F.cos(ring) - 62.5).alias("station_lat"), (F.sin(ring) - 59.0).alias("station_lon"))
-    return location.locate_land_events(picks, coarse=0.2, fine=0.05)
+    return location.locate_land_events(picks)
 
 
 @plan("""h AS (SELECT n_nationkey AS k, 'a' || n_nationkey AS assoc_id, n_nationkey * 0.01 - 62 AS la, n_regionkey * 0.1 - 59 AS lo FROM nation) SELECT assoc_id, round(la - (la + 0.01 * (k % 3)), 6) AS dlat, round(lo - (lo - 0.02), 6) AS dlon FROM h""")
