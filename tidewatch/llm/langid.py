@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, in_chunks
 
-#: Text of about so many bytes trains each language: whole documents, drawn by a hash of their text.
+#: Text of at most so many bytes trains each language: distinct texts, in the order of a hash.
 TRAIN_BYTES = 1_500_000
 #: The driver fits at most so many languages, those with the most text.
 MAX_LANGUAGES = 64
@@ -108,20 +108,60 @@ def fit(samples: dict[str, list[bytes]]) -> Model | None:
     return Model(langs, symbol, a, node, bits)
 
 
+def _by_lang(values: dict):
+    """The value of a row's language; null for other languages."""
+    out = F.lit(None).cast("long")
+    for k, v in values.items():
+        out = F.when(F.col("lang") == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def _last_hashes(rows: DataFrame, train_bytes: int) -> dict[str, int]:
+    """Of each language with more than train_bytes of distinct texts, the hash of the text that fills them, in the order of the hashes."""
+    cell = F.shiftright("h", 54)
+    distinct = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("n"))
+    cells: dict[str, list[tuple[int, int]]] = {}
+    for r in distinct.groupBy("lang", cell.alias("cell")).agg(F.sum("n").alias("n")).collect():
+        cells.setdefault(r["lang"], []).append((r["cell"], r["n"]))
+    full = {}
+    for k, own in cells.items():
+        at = 0
+        for c, n in sorted(own):
+            if at + n > train_bytes:
+                full[k] = c, at
+                break
+            at += n
+    last, filled = {}, {k: at for k, (_, at) in full.items()}
+    if full:
+        for r in sorted(distinct.where(cell == _by_lang({k: c for k, (c, _) in full.items()})).collect(), key=lambda r: r["h"]):
+            if filled[r["lang"]] < train_bytes:
+                last[r["lang"]] = r["h"]
+                filled[r["lang"]] += r["n"]
+    return last
+
+
 def train(docs: DataFrame, learn, train_bytes: int = TRAIN_BYTES, max_languages: int = MAX_LANGUAGES) -> Model | None:
-    """Fit on whole documents of rows (text, lang) where learn holds and lang is given; each language gets train_bytes in expectation."""
-    rows = docs.where(learn).where("lang IS NOT NULL AND text IS NOT NULL AND text != ''").select("text", "lang")
+    """Fit on rows (text, lang) where learn holds and lang is given.
+
+    Each language gets its distinct texts in the order of their hashes up to train_bytes, the last one cut there; all of them if they are less.
+    """
+    rows = docs.where(learn).where("lang IS NOT NULL AND text IS NOT NULL AND text != ''").select("text", "lang", F.xxhash64("text").alias("h"))
     sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    share = F.lit(None).cast("double")
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, train_bytes / r["n"]))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
-    samples: dict[str, list[bytes]] = {}
+    upto = {r["lang"]: (1 << 63) - 1 for r in sizes}
+    if large := [r["lang"] for r in sizes if r["n"] > train_bytes]:
+        upto |= _last_hashes(rows.where(F.col("lang").isin(large)), train_bytes)
+    # a character is a byte at least
+    drawn = rows.where(F.col("h") <= _by_lang(upto)).groupBy("lang", "h").agg(F.first(F.substring("text", 1, train_bytes)).alias("text"))
+    texts: dict[str, list[tuple[int, bytes]]] = {}
     for r in drawn.collect():
-        samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "replace"))
-    if not samples and sizes:  # fewer documents than draws: then all of them, which are less than the bound
-        return None
-    return fit({k: sorted(v) for k, v in samples.items()})
+        texts.setdefault(r["lang"], []).append((r["h"], r["text"].encode("utf-8", "replace")))
+    samples: dict[str, list[bytes]] = {}
+    for k, own in texts.items():
+        left = train_bytes
+        for _, t in sorted(own):
+            samples.setdefault(k, []).append(t[:left])
+            left -= len(samples[k][-1])
+    return fit({k: sorted(t for t in v if t) for k, v in samples.items()})
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
