@@ -1,6 +1,10 @@
 """Inputs on which the text operators once did less than the whole job."""
 
-from tidewatch.llm import langid
+import random
+import re
+from collections import Counter
+
+from tidewatch.llm import decontam, langid
 
 
 def test_op7_copies(spark, monkeypatch):
@@ -19,3 +23,35 @@ def test_op7_copies(spark, monkeypatch):
         assert len(own) == len(set(own))
         assert sum(map(len, own)) == min(bound, sum(map(len, distinct)))
         assert all(any(t.startswith(x) for t in distinct) for x in own)
+
+
+def test_op9_short_documents(spark):
+    """Documents with fewer words than an item are compared as a whole."""
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for i, n in enumerate((40, 40, 25, 12, 6, 5, 4, 1))]
+    docs = []
+    for _, t in items:
+        w = t.split()
+        for gone in range(13):
+            for a in range(gone + 1):
+                docs.append(" ".join(w[a : len(w) - gone + a]))
+        docs.append(" ".join([*w[:20], "other", *w[21:-1]]))
+    docs = list(enumerate([None, "", *docs]))
+    want = {}
+    for d, t in docs:
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        for i, x in items:
+            y = x.split()
+            k = min(5, len(y))
+            bag = Counter(tuple(y[a : a + k]) for a in range(len(y) - k + 1))
+            own = [tuple(w[a : a + k]) for a in range(len(w) - k + 1)]
+            size = min(len(y) - k + 1, len(own))
+            best = max((decontam.similarity(Counter(own[a : a + size]), bag) for a in range(len(own) - size + 1)), default=0) if own else 0
+            if best >= 0.8:
+                want[d, i] = best
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.matches(df, bench).collect()}
+    assert got == want
+    assert any(len(docs[d][1].split()) < len(items[i][1].split()) for d, i in want)
+    assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}

@@ -1,7 +1,7 @@
 """Benchmark passages in documents, by SimHash windows as long as each item.
 
-A document's windows of an item's length are fingerprinted (128 bits over their word shingles), a multi-index of the items' fingerprints
-finds all within RADIUS, and the exact similarity, the weight that two multisets of shingles share over their joint weight, decides.
+A document's windows of an item's length, or the whole document where it is shorter than the item, are fingerprinted (128 bits over their word
+shingles), a multi-index of the items' fingerprints finds all within RADIUS, and the exact similarity, the weight that two multisets of shingles share over their joint weight, decides.
 A window without any shingle of the benchmark has similarity 0 to every item, so that only windows around such shingles are made.
 
 The index cuts fingerprints into BLOCKS blocks. Two within RADIUS differ in at most RADIUS // BLOCKS bits of one block, so each block's table has
@@ -109,13 +109,12 @@ class Benchmark:
                 p = int(np.searchsorted(self.known[k][1], h[j]))
                 for m in self.known[k][2][p]:
                     size = m - k + 1
-                    around[m].update(range(max(0, j - size + 1), min(j, len(h) - size) + 1))
+                    around[m].update(range(max(0, j - size + 1), min(j, max(0, len(h) - size)) + 1))
         best: dict[int, tuple[float, int]] = {}
         for m, starts in around.items():
-            if not starts:
-                continue
             k = min(SHINGLE, m)
-            h, size, order = shingles[k], m - k + 1, np.array(sorted(starts), dtype=np.int64)
+            h, order = shingles[k], np.array(sorted(starts), dtype=np.int64)
+            size = min(m - k + 1, len(h))
             ids, bags, index = self.kinds[m]
             for run in np.split(order, np.flatnonzero(np.diff(order) > 4 * size) + 1):
                 for s, p in zip(run.tolist(), fingerprints(h, run, size)):
@@ -162,7 +161,8 @@ def _parts(benchmark: DataFrame, part_bytes: int) -> list[DataFrame]:
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, text) and (item_id, text) to (doc_id, item_id, similarity, first_word), a row for each item found in a document row.
 
-    Words are runs of letters and digits, in lower case. Null and empty texts have none and match nothing. Items of fewer than five words are one
+    Words are runs of letters and digits, in lower case. An item is compared with each window of as many words, and with the whole document where that
+    has fewer. Null and empty texts have none and match nothing. Items of fewer than five words are one
     shingle and match exactly. An item id that repeats keeps its best match. Empty tables give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
