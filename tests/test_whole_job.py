@@ -1,9 +1,10 @@
-"""Plans give what the whole job gives, on production grids."""
+"""Plans give what the whole job gives: production grids, and all seeds."""
 
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.functions import geo
 from tidewatch.plans import physics
@@ -56,3 +57,8 @@ def test_g19_grid(spark, monkeypatch):
     got = physics.g19_land_location(spark, "").collect()
     assert len(got) == 3
     assert all(abs(r.lat - at[0]) <= 0.003 and abs(r.lon - at[1]) <= 0.003 for r in got)
+
+
+def test_m4_seeds(spark):
+    got = physics.m4_stability(spark, "/root/testdata/sf0.001").agg(F.collect_set("seed")).first()[0]
+    assert len(got) == 5

@@ -119,7 +119,7 @@ def m3_clusters(spark, sf):
 
 @plan()
 def m4_stability(spark, sf):
-    return ml.stability(table(spark, sf, "embeddings"), "embedding", 8, seeds=(0, 1, 42), least=5)
+    return ml.stability(table(spark, sf, "embeddings"), "embedding", 8, least=5)
 
 
 @plan()
