@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from tidewatch.llm import decontam, langid
 
 
@@ -25,6 +27,14 @@ def test_op7_copies(spark, monkeypatch):
         assert all(any(t.startswith(x) for t in distinct) for x in own)
 
 
+def test_op7_too_many_languages(spark):
+    """Every language is learned, or none."""
+    docs = spark.createDataFrame([(f"text {i}", f"l{i:02}") for i in range(5)], "text string, lang string")
+    assert langid.train(docs, "text != ''", max_languages=5).langs == [f"l{i:02}" for i in range(5)]
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        langid.train(docs, "text != ''", max_languages=4)
+
+
 def test_op9_short_documents(spark):
     """Documents with fewer words than an item are compared as a whole."""
     rng = random.Random(7)

@@ -20,7 +20,7 @@ from .common import arrow_rows, in_chunks
 
 #: Text of at most so many bytes trains each language: distinct texts, in the order of a hash.
 TRAIN_BYTES = 1_500_000
-#: The driver fits at most so many languages, those with the most text.
+#: The driver fits at most so many languages; with more it stops.
 MAX_LANGUAGES = 64
 #: A text that its best language codes worse than plain bytes would be is in none of the languages.
 PLAIN_BITS = 8.0
@@ -144,9 +144,12 @@ def train(docs: DataFrame, learn, train_bytes: int = TRAIN_BYTES, max_languages:
     """Fit on rows (text, lang) where learn holds and lang is given.
 
     Each language gets its distinct texts in the order of their hashes up to train_bytes, the last one cut there; all of them if they are less.
+    More than max_languages languages are an error: none is left out.
     """
     rows = docs.where(learn).where("lang IS NOT NULL AND text IS NOT NULL AND text != ''").select("text", "lang", F.xxhash64("text").alias("h"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"labelled text in more than {max_languages} languages, which is what one model holds")
     upto = {r["lang"]: (1 << 63) - 1 for r in sizes}
     if large := [r["lang"] for r in sizes if r["n"] > train_bytes]:
         upto |= _last_hashes(rows.where(F.col("lang").isin(large)), train_bytes)
