@@ -153,7 +153,6 @@ def crc(ids):
 
 def check_packed(got, rows):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     by_doc = defaultdict(list)
     for r in got:
         by_doc[r.doc_id].append(r)
@@ -189,7 +188,6 @@ def test_op4(docs, rows, none):
 
 def test_op5(docs, rows, none, tmp_path):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     want, at = {}, 0
     for i, t in sorted(rows):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]

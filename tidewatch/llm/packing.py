@@ -1,10 +1,9 @@
 """Best-fit packing of documents into sequences by exact complements.
 
 Documents over the capacity are cut; what is left of each, and each shorter document, is an item. Only the items' lengths
-matter, so the packing is planned on their histogram, which has at most `capacity` rows whatever the input: every length, and
-the sums of two and three lengths, are indexed; a largest item takes the single, pair or triple whose sum is exactly the gap, as
-often as the counts of its lengths allow; items without an exact complement go by best fit. A plan is a list of patterns, each repeated, and an
-item finds its place from its rank among the items of its length.
+matter, so the packing is planned on their histogram, which has at most `capacity` rows whatever the input: an item takes the
+single, then the pair, then the triple of lengths whose sum is exactly its gap, as often as the counts of the lengths allow; items without an exact
+complement go by best fit. A plan is a list of patterns, each repeated, and an item finds its place from its rank among the items of its length.
 """
 
 from __future__ import annotations
@@ -17,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, in_chunks, keep
-from .tokens import BYTE_BPE, encoder, resolve
+from .common import keep
+from .tokens import BYTE_BPE, encoded, resolve
 
 CAPACITY = 1024
 END = 2
@@ -31,90 +30,84 @@ def pieces(docs: DataFrame, vocabulary: str = BYTE_BPE, capacity: int = CAPACITY
     path = resolve(vocabulary)
 
     def run(batches):
-        enc, tail = encoder(path, False), np.array([end], dtype="<u4").tobytes()
-        for chunk in in_chunks(arrow_rows(batches, "doc_id", "text"), 1, 1 << 20):
-            cols = [[], [], [], [], []]
-            for (i, _), ids in zip(chunk, enc.encode_all([t or "" for _, t in chunk])):
-                ids += tail
-                n, at = len(ids) // 4, 0
-                for k in range(-(-n // capacity)):
-                    size = (n % capacity or capacity) if k == 0 else capacity
-                    for c, v in zip(cols, (i, k, at, size, zlib.crc32(memoryview(ids)[4 * at : 4 * (at + size)]))):
-                        c.append(v)
-                    at += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for part, ids, ends in encoded(batches, path, False, end):
+            sizes = np.diff(ends, prepend=0)
+            times = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), times)
+            k = np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
+            # the first piece is the shorter one
+            head = (sizes - (times - 1) * capacity)[doc]
+            start = np.where(k > 0, head + (k - 1) * capacity, 0)
+            length = np.where(k > 0, capacity, head)
+            held, at = memoryview(ids.astype("<u4").tobytes()), 4 * ((ends - sizes)[doc] + start)
+            crc = [zlib.crc32(held[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            cols = (part.column(0).take(pa.array(doc)), pa.array(k, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)])
+            yield pa.RecordBatch.from_arrays(list(cols), names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _complements(left: dict[int, int], lengths: list[int], gap: int, parts: int = 3) -> tuple[int, ...] | None:
-    """One to `parts` lengths in stock whose sum is gap; long ones first."""
-    if left.get(gap, 0) > 0:
-        return (gap,)
-    if parts < 2:
-        return None
-    at = bisect_right(lengths, gap)
-    for a in reversed(lengths[:at]):
-        if 2 * a < gap:
+def _complement(left: dict[int, int], lengths: list[int], gap: int, parts: int, most: int) -> tuple[int, ...] | None:
+    """So many lengths in stock, none over most and long ones first, whose sum is gap."""
+    if parts == 1:
+        return (gap,) if gap <= most and left.get(gap, 0) > 0 else None
+    for a in reversed(lengths[: bisect_right(lengths, min(gap - parts + 1, most))]):
+        if parts * a < gap:
             break
-        b = gap - a
-        if b > 0 and left[a] > 0 and left.get(b, 0) > (a == b):
-            return (a, b)
-    if parts < 3:
-        return None
-    for a in reversed(lengths[:at]):
-        rest = gap - a
-        if 3 * a < gap:
-            break
-        if left[a] < 1:
-            continue
-        for b in reversed(lengths[: bisect_right(lengths, min(a, rest))]):
-            c = rest - b
-            if c > b:
-                break
-            if c > 0 and left.get(c, 0) > (c == b) + (c == a) and left[b] > (a == b):
-                return (a, b, c)
+        if left[a] > 0:
+            left[a] -= 1
+            rest = _complement(left, lengths, gap - a, parts - 1, a)
+            left[a] += 1
+            if rest:
+                return (a, *rest)
     return None
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """counts of each length from 1 to capacity, to patterns of lengths and how often each is used.
 
-    Triples fill more gaps exactly, but use up short pieces that other gaps need: of the plans with up to three, two and one pieces to a
-    gap the one with the fewest sequences is taken, and the first of equals.
+    Pairs and triples use up short pieces, without which long ones are left with gaps. So plans with all of the pairs and triples that fit, and with
+    a half, a quarter, an eighth and none of their number are made, and the one with the fewest sequences is taken, the first of equals.
     """
-    return min((_plan(counts, capacity, parts) for parts in (3, 2, 1)), key=lambda p: sum(k for _, k in p))
+    plans = [_plan(counts, capacity, None)]
+    used = sum(n for p, n in plans[0][0] if len(p) > 2)
+    plans += [_plan(counts, capacity, used >> k) for k in (1, 2, 3)] + [_plan(counts, capacity, 0)]
+    return min((exact + rest for exact, rest in plans), key=lambda p: sum(n for _, n in p))
 
 
-def _plan(counts: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
+def _plan(counts: dict[int, int], capacity: int, budget: int | None) -> tuple[list, list]:
+    """Patterns that fill sequences exactly, with so many pairs and triples at most, and those of best fit for what is left."""
     left = {k: v for k, v in counts.items() if v > 0}
-    lengths = sorted(left)
+    exact: list[tuple[tuple[int, ...], int]] = []
+    if full := left.pop(capacity, 0):
+        exact.append(((capacity,), full))
+    for parts in (1, 2, 3):
+        # of the items over half a sequence the smallest leave the largest gaps; they go first, so that what stays open is narrow
+        lengths = sorted(left)
+        for big in [x for x in lengths if 2 * x > capacity] + [x for x in lengths if 2 * x <= capacity]:
+            while left[big] > 0 and (parts == 1 or budget is None or budget > 0):
+                left[big] -= 1  # the item itself is not part of its complement
+                found = _complement(left, lengths, capacity - big, parts, big)
+                left[big] += 1
+                if not found:
+                    break
+                pattern = (big, *found)
+                n = min(left[x] // pattern.count(x) for x in set(pattern))
+                if parts > 1 and budget is not None:
+                    n = min(n, budget)
+                    budget -= n
+                for x in pattern:
+                    left[x] -= n
+                exact.append((pattern, n))
+        left = {k: v for k, v in left.items() if v}
+    return exact, _best_fit(left, capacity)
+
+
+def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The longest items first, each into the open sequences with the least room that is enough, or else into new ones."""
     out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(pattern: tuple[int, ...], times: int) -> None:
-        out.append((pattern, times))
-        for x in pattern:
-            left[x] -= times
-        for x in set(pattern):
-            if not left[x]:
-                del left[x]
-                lengths.remove(x)
-
-    def most(pattern: tuple[int, ...]) -> int:
-        return min(left[x] // pattern.count(x) for x in set(pattern))
-
-    if capacity in left:
-        take((capacity,), left[capacity])
     open_: list[tuple[int, tuple[int, ...], int]] = []  # (room, pattern, times), by room
-    while lengths:
-        big = lengths[-1]
-        left[big] -= 1  # the largest item itself is not part of its complement
-        found = _complements(left, lengths, capacity - big, parts)
-        left[big] += 1
-        if found:
-            take((big, *found), most((big, *found)))
-            continue
-        # best fit: into the open sequences with the least room that is enough, or else into new ones
+    for big in sorted(left, reverse=True):
         n = left[big]
         at = bisect_right(open_, (big, (), 0))
         while n and at < len(open_):
@@ -130,13 +123,13 @@ def _plan(counts: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple
             at = bisect_right(open_, (big, (), 0))
         if n:
             per = capacity // big
-            if full := n // per:
-                room = capacity - per * big
-                insort(open_, (room, (big,) * per, full))
-            if rest := n % per:
-                insort(open_, (capacity - rest * big, (big,) * rest, 1))
-        del left[big]
-        lengths.pop()
+            full, rest = divmod(n, per)
+            for k, times in ((per, full), (rest, 1)):
+                if k and times:
+                    if room := capacity - k * big:
+                        insort(open_, (room, (big,) * k, times))
+                    else:
+                        out.append(((big,) * k, times))
     return out + [(p, k) for _, p, k in open_]
 
 

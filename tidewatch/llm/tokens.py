@@ -1,57 +1,150 @@
-"""Token ids of whole texts by the tokenizers library, each distinct run between blanks encoded once per worker.
+"""Token ids of whole texts by the tokenizers library, each distinct piece of a word merged once per worker.
 
 Both vocabularies split text before they merge, and never across a blank that follows another character: the byte-level one
-begins a piece at such a blank, the other drops white space. So a text's ids are those of its runs in a row. Where that does
-not hold (white space before a blank), the library encodes the whole text.
+begins a piece at such a blank, the other drops white space. So a text's ids are those of its runs between blanks in a row. Where that may not
+hold (white space before a blank in the byte-level one, or what could be a special token's string), the library encodes the whole text.
+
+Arrow splits a slice of texts and numbers its distinct runs. Runs of Latin letters, digits and ASCII marks are cut into the pieces that the library's
+own patterns would give, and its model merges each new piece; the library encodes any other run as a whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer
+import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Tokenizer, pre_tokenizers
 
-#: A worker forgets its runs when it holds so many.
-CACHE_RUNS = 600_000
+#: A worker forgets its pieces when it holds so many.
+CACHE_PIECES = 1_000_000
+#: Bytes of text that are encoded at a time; a longer text is one slice.
+SLICE_BYTES = 1 << 23
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-_UNSAFE = re.compile(r"\s ")
+#: Any white space before a blank.
+_BEFORE_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+#: How the special tokens of both vocabularies begin.
+_SPECIAL = "<|"
+#: Characters of the runs that are cut here; an apostrophe is not among them, as both patterns give it a meaning.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+_SEEN = f"[{_LETTERS}0-9{_MARKS}]"
 _LOADED: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
+    """The ids of slices of texts."""
 
     def __init__(self, path: str, drops_space: bool) -> None:
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library's alphabet for bytes, learned from characters that hold all bytes which can come up
+        held = "".join(map(chr, range(256)))
+        ((mapped, _),) = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(held)
+        self.alphabet = {ord(a): b for a, b in zip(held.encode().decode("latin-1"), mapped)}
         self.drops_space = drops_space
-        self.cache: dict[str, bytes] = {}
+        if drops_space:
+            self.runs, self.pieces = f"^{_SEEN}+$", re.compile(f"\0|[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
+        else:
+            self.runs, self.pieces = f"^{_SEEN}(\n?{_SEEN})*\n?$", re.compile(f"\0| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
+        self._forget()
 
-    def _learn(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), 4096):
-            part = runs[at : at + 4096]
-            for r, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[r] = np.array(e.ids, dtype="<u4").tobytes()
+    def _forget(self) -> None:
+        # the zero byte, which parts runs, has place 0 and no ids
+        self.known: dict[str, int] = {"\0": 0}
+        self.ids, self.used = np.empty(1 << 16, dtype=np.uint32), 0
+        self.begin, self.size = (np.zeros(1 << 14, dtype=np.int64) for _ in range(2))
 
-    def _runs(self, text: str) -> list[str] | None:
-        if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if _UNSAFE.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + r for r in rest]]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        runs = [self._runs(t) for t in texts]
-        cache = self.cache
-        new = {w for r in runs if r is not None for w in r if w not in cache}
-        if len(cache) + len(new) > CACHE_RUNS:
-            cache.clear()
-            new = {w for r in runs if r is not None for w in r}
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        if not pieces:
+            return
+        merge = self.tok.model.tokenize
+        ids = [[t.id for t in merge(x)] for x in "\0".join(pieces).encode().decode("latin-1").translate(self.alphabet).split(self.alphabet[0])]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        n, end = len(self.known), self.used + int(sizes.sum())
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(2 * end - self.used, dtype=np.uint32)])
+        if n + len(pieces) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x[:n], np.empty(2 * n + len(pieces), dtype=np.int64)]) for x in (self.begin, self.size))
+        self.ids[self.used : end] = np.fromiter((x for own in ids for x in own), dtype=np.uint32, count=end - self.used)
+        self.begin[n : n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(pieces)] = sizes
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
+        self.used = end
+
+    def _cut(self, runs: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and their number for each run, of runs with a zero byte after each."""
+        pieces = self.pieces.findall(runs.lower() if self.drops_space else runs)
+        new = set(pieces) - self.known.keys()
+        if len(self.known) + len(new) > CACHE_PIECES:
+            self._forget()
+            new = set(pieces) - self.known.keys()
         self._learn(list(new))
-        return [b"".join([cache[w] for w in r]) if r is not None else np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t, r in zip(texts, runs)]
+        at = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        ids, ends = _gather(self.ids, self.begin[at], self.size[at])
+        return ids, np.diff(ends[at == 0], prepend=0)
+
+    def _runs(self, runs: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct runs, and where those of each begin and how many they are. before: what stands before each in its text."""
+        plain = pc.match_substring_regex(runs, self.runs)
+        own = runs.filter(plain).to_pylist()
+        ids, sizes = self._cut(before + ("\0" + before).join(own) + "\0") if own else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        plain = plain.to_numpy(zero_copy_only=False)
+        rest = self._whole([before + r for r in runs.filter(pa.array(~plain)).to_pylist()])
+        size = np.empty(len(runs), dtype=np.int64)
+        size[plain], size[~plain] = sizes, [len(x) for x in rest]
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        begin = np.empty(len(runs), dtype=np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([ids, np.array([x for own in rest for x in own], dtype=np.uint32)]), begin, size
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.drops_space:
+            texts = pc.replace_substring(texts, "\n", " ")
+        lists = pc.split_pattern(texts, " ")
+        at = lists.offsets.to_numpy()
+        runs = lists.values.slice(at[0], at[-1] - at[0])
+        first = at[:-1] - at[0]
+        coded = runs.dictionary_encode()
+        ids, begin, size = self._runs(coded.dictionary, "" if self.drops_space else " ")
+        where = coded.indices.to_numpy()
+        begin, size = begin[where], size[where]
+        if not self.drops_space:
+            # no blank stands before a text's first run
+            heads, head_begin, head_size = self._runs(runs.take(pa.array(first)), "")
+            begin[first], size[first] = len(ids) + head_begin, head_size
+            ids = np.concatenate([ids, heads])
+        out, _ = _gather(ids, begin, size)
+        return out, np.add.reduceat(size, first)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and their number for each text. A null text counts as empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring(texts, _SPECIAL)
+        if not self.drops_space:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, _BEFORE_BLANK))
+        odd = odd.to_numpy(zero_copy_only=False)
+        ids, counts = self._plain(texts.filter(pa.array(~odd))) if not odd.all() else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        if not odd.any():
+            return ids, counts
+        out: list[np.ndarray] = [ids] * len(texts)
+        for i, x in zip(np.flatnonzero(~odd), np.split(ids, np.cumsum(counts)[:-1])):
+            out[i] = x
+        for i in np.flatnonzero(odd):
+            out[i] = np.array(self._whole([texts[int(i)].as_py()])[0], dtype=np.uint32)
+        return np.concatenate(out), np.fromiter(map(len, out), dtype=np.int64, count=len(out))
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[b : b + n] of each b and n in a row, and where they end."""
+    ends = np.cumsum(size)
+    at = np.repeat(begin - (ends - size), size)
+    at += np.arange(len(at))
+    return values[at], ends
 
 
 def encoder(path: str, drops_space: bool) -> Encoder:
@@ -60,6 +153,21 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return _LOADED[path]
 
 
+def encoded(batches, vocabulary: str, drops_space: bool, end: int, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches, which have a column text, with the ids of their texts in a row, each with the end id after it, and where each text's ids end."""
+    enc = encoder(vocabulary, drops_space)
+    for b in batches:
+        texts = b.column(b.schema.get_field_index("text"))
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+            ids, counts = enc.encode(texts.slice(at, to - at))
+            ends = np.cumsum(counts)
+            yield b.slice(at, to - at), np.insert(ids, ends, np.uint32(end)), ends + np.arange(1, len(ends) + 1)
+            at = to
+
+
 def resolve(name: str) -> str:
     """The place of a public vocabulary file; a path is itself."""
     return name if "/" in name else public_tokenizers.path(name)

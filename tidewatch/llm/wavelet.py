@@ -1,9 +1,10 @@
 """Token ids as wavelet matrices, a shard of whole documents to a file.
 
-A file is: the magic "TWM1"; six little-endian unsigned 64-bit integers (ids, planes, documents, bytes of the compressed
-body, superblock bits, reserved); the body, zstd-compressed. The body holds the documents' ids (signed 64-bit) and lengths (unsigned 64-bit)
-in order, for each plane its number of zeros (unsigned 64-bit), and then for each plane, from the highest bit, its bits in
-little-endian order and a cumulative count of ones for each superblock (unsigned 64-bit). Ids may take up to 32 planes.
+A file is: the magic "TWM2"; six little-endian unsigned 64-bit integers (ids, planes, documents, bytes of the compressed document table, bytes of a plane
+that a frame holds, reserved); for each plane, from the highest bit, its number of zeros (unsigned 64-bit), the ones before each of its frames and
+where each frame begins in the file (unsigned 64-bit both, the latter with the end of the last); the documents' ids (signed 64-bit) and lengths (unsigned
+64-bit) in order, zstd-compressed; the frames: bits in little-endian order, zstd-compressed each. Ids may take up to 32 planes. Access, counting and
+occurrence lookup inflate the frames that they touch and no others.
 
 Shards are rows (shard, payload) of a table that Spark writes, so that they reach any store that the session reaches, a lost
 executor's shards are written again, and a half-written file is never seen.
@@ -20,81 +21,115 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, in_chunks, keep
-from .tokens import WORD_BPE, encoder, resolve
+from .common import arrow_rows, keep
+from .tokens import WORD_BPE, encoded, resolve
 
-MAGIC = b"TWM1"
+MAGIC, _HEAD = b"TWM2", struct.Struct("<6Q")
 END = 1
-SUPER = 512
+#: Bytes of a plane in a frame.
+FRAME = 1 << 13
 #: Stands for a null id in a file.
 NULL_ID = -(1 << 63)
 #: A shard is closed after the document that takes it to so many ids.
 SHARD_IDS = 1 << 20
 
 
+def dump(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, frame: int = FRAME) -> bytes:
+    """The file of the ids of documents in a row."""
+    packer = zstandard.ZstdCompressor(level=1)
+    n_planes = max(1, int(ids.max(initial=0)).bit_length())
+    n_frames = -(-len(ids) // (8 * frame))
+    docs = packer.compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<u8").tobytes())
+    at = len(MAGIC) + _HEAD.size + n_planes * 8 * (2 + 2 * n_frames) + len(docs)
+    index, frames = [], []
+    rest = ids.astype(np.uint32)
+    for bit in range(n_planes - 1, -1, -1):
+        on = (rest >> np.uint32(bit)) & np.uint32(1) == 1
+        plane = np.packbits(on, bitorder="little")
+        ones = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), frame), dtype=np.uint64) if len(plane) else np.empty(0, np.uint64)
+        own = [packer.compress(plane[i : i + frame].tobytes()) for i in range(0, len(plane), frame)]
+        ends = at + np.cumsum([0, *map(len, own)])
+        at = int(ends[-1])
+        frames += own
+        zeros, rest = rest[~on], rest[on]
+        index += [np.array([len(zeros)]), np.cumsum(ones) - ones, ends]
+        rest = np.concatenate([zeros, rest])
+    return b"".join([MAGIC, _HEAD.pack(len(ids), n_planes, len(doc_ids), len(docs), frame, 0), *[x.astype("<u8").tobytes() for x in index], docs, *frames])
+
+
 class Wavelet:
-    """Rank and select over the ids of one shard, from its planes."""
-
-    def __init__(self, n: int, planes: list[np.ndarray], ranks: list[np.ndarray], zeros: list[int], doc_ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.n, self.planes, self.ranks, self.zeros, self.doc_ids, self.lengths = n, planes, ranks, zeros, doc_ids, lengths
-        self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-
-    @classmethod
-    def build(cls, ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> Wavelet:
-        planes, ranks, zeros = [], [], []
-        rest = ids.astype(np.uint32)
-        for bit in range(max(1, int(ids.max(initial=0)).bit_length()) - 1, -1, -1):
-            on = (rest >> np.uint32(bit)) & np.uint32(1) == 1
-            planes.append(np.packbits(on, bitorder="little"))
-            ranks.append(cls._ranks(planes[-1]))
-            zeros.append(int(len(on) - on.sum()))
-            rest = np.concatenate([rest[~on], rest[on]])
-        return cls(len(ids), planes, ranks, zeros, doc_ids, lengths)
-
-    @staticmethod
-    def _ranks(plane: np.ndarray) -> np.ndarray:
-        ones = np.bitwise_count(plane).astype(np.uint64)
-        ones = np.concatenate([ones, np.zeros(-len(ones) % (SUPER // 8), dtype=np.uint64)]).reshape(-1, SUPER // 8).sum(axis=1)
-        return np.concatenate([[0], np.cumsum(ones)]).astype(np.uint64)
-
-    def _bit(self, k: int, i: int) -> int:
-        return int(self.planes[k][i >> 3] >> (i & 7)) & 1
+    """Rank and select over the ids of one shard, from its file."""
+
+    def __init__(self, payload: bytes) -> None:
+        if payload[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a wavelet shard")
+        self.payload = payload
+        self.n, n_planes, n_docs, docs, self.frame, _ = _HEAD.unpack_from(payload, len(MAGIC))
+        n_frames = -(-self.n // (8 * self.frame))
+        at = len(MAGIC) + _HEAD.size
+        index = np.frombuffer(payload, "<u8", n_planes * (2 + 2 * n_frames), at).astype(np.int64).reshape(n_planes, -1)
+        self.zeros, self.before, self.ends = index[:, 0].tolist(), index[:, 1 : 1 + n_frames], index[:, 1 + n_frames :]
+        at += index.nbytes
+        if len(payload) != self.ends[-1, -1]:
+            raise ValueError("a damaged wavelet shard")
+        self._zstd = zstandard.ZstdDecompressor()
+        held = self._zstd.decompress(payload[at : at + docs])
+        self.doc_ids, self.lengths = np.frombuffer(held, "<i8", n_docs), np.frombuffer(held, "<u8", n_docs, 8 * n_docs).astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
+        self._frames: dict[tuple[int, int], np.ndarray] = {}
+
+    @property
+    def inflated(self) -> int:
+        """Frames that have been inflated so far."""
+        return len(self._frames)
+
+    def _bits(self, k: int, j: int) -> np.ndarray:
+        """Bytes of frame j of plane k."""
+        if (k, j) not in self._frames:
+            self._frames[k, j] = np.frombuffer(self._zstd.decompress(self.payload[self.ends[k, j] : self.ends[k, j + 1]]), np.uint8)
+        return self._frames[k, j]
 
     def _ones(self, k: int, i: int) -> int:
         """Ones of plane k before position i."""
-        at = i // SUPER
-        n = int(self.ranks[k][at]) + int(np.bitwise_count(self.planes[k][at * SUPER // 8 : i >> 3]).sum())
-        return n + (int(self.planes[k][i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+        if i >= self.n:
+            return self.n - self.zeros[k]
+        j, i = divmod(i, 8 * self.frame)
+        bits = self._bits(k, j)
+        n = int(self.before[k, j]) + int(np.bitwise_count(bits[: i >> 3]).sum(dtype=np.int64))
+        return n + (int(bits[i >> 3]) & ((1 << (i & 7)) - 1)).bit_count()
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for k in range(len(self.planes)):
-            bit, ones = self._bit(k, i), self._ones(k, i)
+        for k, zeros in enumerate(self.zeros):
+            j, r = divmod(i, 8 * self.frame)
+            bit, ones = int(self._bits(k, j)[r >> 3]) >> (r & 7) & 1, self._ones(k, i)
             value = value << 1 | bit
-            i = self.zeros[k] + ones if bit else i - ones
+            i = zeros + ones if bit else i - ones
         return value
 
     def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
-        if token >> len(self.planes):
+        """Where the token's occurrences among positions lo to hi stand below the last plane."""
+        if token < 0 or token >> len(self.zeros):
             return 0, 0
-        for k in range(len(self.planes)):
+        for k, zeros in enumerate(self.zeros):
             a, b = self._ones(k, lo), self._ones(k, hi)
-            lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if token >> (len(self.planes) - 1 - k) & 1 else (lo - a, hi - b)
+            lo, hi = (zeros + a, zeros + b) if token >> (len(self.zeros) - 1 - k) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
-        a, b = self._range(token, lo, self.n if hi is None else hi)
+        """Occurrences of the token among positions lo to hi."""
+        hi = self.n if hi is None else min(hi, self.n)
+        a, b = self._range(token, min(max(lo, 0), hi), hi)
         return b - a
 
     def _select_bit(self, k: int, bit: int, r: int) -> int:
         """Position of the r-th (from 0) such bit of plane k."""
-        at = np.arange(len(self.ranks[k]), dtype=np.int64) * SUPER
-        had = self.ranks[k].astype(np.int64) if bit else at - self.ranks[k].astype(np.int64)
-        block = int(np.searchsorted(had, r, side="right")) - 1
-        bits = np.unpackbits(self.planes[k][block * SUPER // 8 : (block + 1) * SUPER // 8], bitorder="little")[: self.n - block * SUPER]
-        return block * SUPER + int(np.flatnonzero(bits == bit)[r - int(had[block])])
+        had = self.before[k] if bit else np.arange(self.before.shape[1]) * 8 * self.frame - self.before[k]
+        j = int(np.searchsorted(had, r, side="right")) - 1
+        bits = np.unpackbits(self._bits(k, j), bitorder="little")[: self.n - j * 8 * self.frame]
+        return j * 8 * self.frame + int(np.flatnonzero(bits == bit)[r - int(had[j])])
 
     def select(self, token: int, r: int) -> int:
         """Position of the r-th (from 0) occurrence of the token."""
@@ -102,8 +137,8 @@ class Wavelet:
         if not 0 <= r < hi - lo:
             raise IndexError(r)
         i = lo + r
-        for k in range(len(self.planes) - 1, -1, -1):
-            bit = token >> (len(self.planes) - 1 - k) & 1
+        for k in range(len(self.zeros) - 1, -1, -1):
+            bit = token >> (len(self.zeros) - 1 - k) & 1
             i = self._select_bit(k, bit, i - self.zeros[k] if bit else i)
         return i
 
@@ -113,43 +148,16 @@ class Wavelet:
     def decode(self) -> np.ndarray:
         """All ids in order: the planes undone from the last."""
         ids = np.zeros(self.n, dtype=np.uint32)
-        bits = [np.unpackbits(p, bitorder="little")[: self.n].astype(bool) for p in self.planes]
-        for j, on in enumerate(reversed(bits)):
+        for k in range(len(self.zeros) - 1, -1, -1):
+            held = [self._zstd.decompress(self.payload[a:b]) for a, b in zip(self.ends[k, :-1], self.ends[k, 1:])]
+            on = np.unpackbits(np.frombuffer(b"".join(held), np.uint8), bitorder="little")[: self.n].astype(bool)
             # the order after plane k is its zeros and then its ones; put back what lower planes gave
             back = np.empty(self.n, dtype=np.uint32)
-            z = self.n - int(on.sum())
-            back[~on], back[on] = ids[:z], ids[z:] | np.uint32(1 << j)
+            z = self.zeros[k]
+            back[~on], back[on] = ids[:z], ids[z:] | np.uint32(1 << (len(self.zeros) - 1 - k))
             ids = back
         return ids
 
-    def dump(self) -> bytes:
-        body = b"".join([self.doc_ids.astype("<i8").tobytes(), self.lengths.astype("<u8").tobytes(), np.array(self.zeros, dtype="<u8").tobytes(), *[x.tobytes() for p, r in zip(self.planes, self.ranks) for x in (p, r.astype("<u8"))]])
-        packed = zstandard.ZstdCompressor(level=1).compress(body)
-        return MAGIC + struct.pack("<6Q", self.n, len(self.planes), len(self.doc_ids), len(packed), SUPER, 0) + packed
-
-    @classmethod
-    def load(cls, payload: bytes) -> Wavelet:
-        if payload[:4] != MAGIC:
-            raise ValueError("not a wavelet shard")
-        n, planes, docs, size, super_, _ = struct.unpack("<6Q", payload[4:52])
-        if super_ != SUPER or len(payload) != 52 + size:
-            raise ValueError("a damaged wavelet shard")
-        body, at = zstandard.ZstdDecompressor().decompress(payload[52:]), 0
-
-        def read(dtype: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(body, dtype=dtype, count=count, offset=at)
-            at += out.nbytes
-            return out
-
-        doc_ids, lengths = read("<i8", docs), read("<u8", docs).astype(np.int64)
-        zeros = [int(x) for x in read("<u8", planes)]
-        bits, ranks = [], []
-        for _ in range(planes):
-            bits.append(read("u1", (n + 7) // 8))
-            ranks.append(read("<u8", -(-n // SUPER) + 1))
-        return cls(n, bits, ranks, zeros, doc_ids, lengths)
-
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str = WORD_BPE, end: int = END, shard_ids: int = SHARD_IDS) -> None:
     """Encode (doc_id, text), in ascending doc_id order, into the table at path: (part int, shard int, payload binary).
@@ -160,21 +168,28 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = WORD_BPE, end: in
     vocab = resolve(vocabulary)
 
     def shard(batches):
-        enc, tail = encoder(vocab, True), np.array([end], dtype="<u4").tobytes()
-        ids, doc_ids, size, k, part = [], [], 0, 0, None
+        ids, doc_ids, lengths, size, k, part = [], [], [], 0, 0, None
 
         def close():
-            w = Wavelet.build(np.concatenate(ids), np.array([NULL_ID if d is None else d for d in doc_ids], dtype=np.int64), np.array([len(x) for x in ids], dtype=np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([w.dump()], pa.binary())], names=["part", "shard", "payload"])
-
-        for chunk in in_chunks(arrow_rows(batches, "doc_id", "text", "part"), 1, 1 << 20):
-            for (d, _, part), x in zip(chunk, enc.encode_all([t or "" for _, t, _ in chunk])):
-                ids.append(np.frombuffer(x + tail, "<u4"))
-                doc_ids.append(d)
+            held = dump(np.concatenate(ids), np.concatenate(doc_ids), np.concatenate(lengths))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([held], pa.binary())], names=["part", "shard", "payload"])
+
+        for b, x, ends in encoded(batches, vocab, True, end):
+            part = b.column(2)[0].as_py()
+            names, sizes = b.column(0).fill_null(NULL_ID).to_numpy(), np.diff(ends, prepend=0)
+            at = 0
+            while at < len(sizes):
+                begin = int(ends[at - 1]) if at else 0
+                # up to the document that fills the shard
+                to = min(len(sizes), int(np.searchsorted(ends, begin + shard_ids - size, side="left")) + 1)
+                ids.append(x[begin : ends[to - 1]])
+                doc_ids.append(names[at:to])
+                lengths.append(sizes[at:to])
                 size += len(ids[-1])
+                at = to
                 if size >= shard_ids:
                     yield close()
-                    ids, doc_ids, size, k = [], [], 0, k + 1
+                    ids, doc_ids, lengths, size, k = [], [], [], 0, k + 1
         if ids:
             yield close()
 
@@ -188,7 +203,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for part, shard, payload in arrow_rows(batches, "part", "shard", "payload"):
-            w = Wavelet.load(payload)
+            w = Wavelet(payload)
             ids = memoryview(w.decode().astype("<u4").tobytes())
             rows = [{"doc_id": None if d == NULL_ID else int(d), "n_tokens": int(b - a), "ids_crc32": zlib.crc32(ids[4 * a : 4 * b]), "in_shard": int(a)} for d, a, b in zip(w.doc_ids, w.starts[:-1], w.starts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([w.n], pa.int64()), pa.array([rows], kind)], names=["part", "shard", "n", "docs"])
