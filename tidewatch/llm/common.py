@@ -28,9 +28,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one is made only where it names none."""
+    """The folder that the session names in spark.checkpoint.dir; a temporary one is made where it names none and all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="tidewatch-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -65,6 +67,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: The scrambled pairs of a byte and its place among the first of a word.
+_PAIRS = mix((np.arange(64, dtype=U64)[:, None] << U64(8) | np.arange(256, dtype=U64)) + U64(0x2545F4914F6CDD1D))
+
+
 def prefix_hashes(codes: np.ndarray) -> np.ndarray:
     """p with p[j] - p[i] = sum of (codes[t] + 1) * BASE**t for i <= t < j."""
     up, _ = powers(len(codes) + 1)
@@ -84,15 +90,22 @@ MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs without ASCII white space or what else stands between them, A-Z lower-cased) of all texts in a row, and the words' number in each text."""
+    """Hashes of the words (runs without ASCII white space or what else stands between them, A-Z lower-cased) of all texts in a row, and the words' number in each text.
+
+    A word's hash is the sum of scrambled (byte, place in the word) pairs, scrambled, which has no structure that words could be made to collide by.
+    """
     buf = b"\n".join(texts).lower() + b"\n"
     codes = np.frombuffer(buf, dtype=np.uint8)
     inside = ~between[codes]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=np.int8(0)))
     starts, ends = edge[0::2], edge[1::2]
-    p = prefix_hashes(codes)
-    _, down = powers(len(codes) + 1)
-    words = mix((p[ends] - p[starts]) * down[starts])
+    size = ends - starts
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    if len(place) and place.max() < len(_PAIRS):
+        sums = _PAIRS[place, codes[inside]]
+    else:
+        sums = mix((place.astype(U64) << U64(8) | codes[inside]) + U64(0x2545F4914F6CDD1D))
+    words = mix(np.add.reduceat(sums, np.cumsum(size) - size)) if len(size) else np.empty(0, dtype=U64)
     at = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
     upto = np.searchsorted(starts, at)
     return words, np.diff(upto, prepend=0)

@@ -3,18 +3,18 @@
 Two sets with |x & y| / |x | y| >= t differ in at most (1 - t) * |x | y| elements. So, where hashes deal the elements into one more
 bucket than that, two linked sets hold the same elements in one bucket or more. Those buckets' signatures route documents into
 groups in which every link lies; a group is searched as an inverted index of its documents: a query's set must share T elements
-with a partner, the T - s longest of its lists are set aside, the others are merged on a heap for what stands in at least s
-of them, and each such document is probed for in the long lists by binary search until T is reached or can't be (DivideSkip).
-
-Groups of more than BLOCK documents are routed again, by other hashes and within the group, as chance that joined unrelated documents rarely does so
-twice. What is still larger is cut into blocks of BLOCK documents. Within a block all pairs are searched. Across the blocks of a group a few queries
-at a time meet all blocks, beginning with one; those that are linked to the group's largest component by then need no more, and
-rounds go on until every other document has been a query. No link between different sets is lost, and no round makes pairs.
+with a partner, the longest of its lists are set aside, the others are merged on a heap for what stands in at least as many of them as T
+asks for beyond the long ones, and what is found is probed for in the long lists by binary search until T is reached or can't be (DivideSkip).
+
+Documents with the same set are one in the search, and the one with the smallest id stands for all. Groups of more than BLOCK elements are routed again,
+by other hashes and within the group, as chance that joined unrelated documents rarely does so twice. What is still larger is cut into
+blocks of about BLOCK elements. Within a block all sets are searched. Across the blocks of a group a few queries at a time meet all blocks,
+beginning with one; those that are linked to the group's largest component by then need no more, and rounds go on until every other document
+has been a query. No link between different sets is lost, and no round makes pairs.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import math
 from bisect import bisect_left, bisect_right
@@ -27,16 +27,18 @@ from pyspark.sql import functions as F
 from .common import U64, arrow_rows, in_chunks, keep, mix, shingle_hashes, word_hashes
 from .graph import components, relabel
 
-#: Documents searched against each other in one task.
-BLOCK = 96
+#: Set elements searched against each other in one task.
+BLOCK = 1 << 20
 #: Elements that occur in so many documents of a drawn sample are common, in tiers. They steer the routing and change no result.
 SAMPLE_DOCS, TIERS, MAX_COMMON = 20_000, (2, 200), 500_000
 #: Times that large groups are routed again.
 REROUTES = 2
 #: Queries of a group that meet all of its blocks in one round after the first, and how their number grows.
-QUERIES, QUERY_GROWTH = 8, 8
+QUERIES, QUERY_GROWTH = 64, 8
 #: DivideSkip's trade-off between merging and probing.
 MU = 0.0085
+#: Signatures that are dealt at a time, and bytes of text for each part that signatures meet in.
+DEALT, PART_BYTES = 1 << 20, 1 << 24
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -147,28 +149,28 @@ def merge_lists(short: list[list[int]], need: int):
                 push(i, bisect_left(short[i], nxt, at[i]))
 
 
-def t_occurrence(lists: list[list[int]], t: int, n_long: int | None = None) -> dict[int, int]:
-    """Ids in at least t of the ascending lists, and in how many they are, by DivideSkip: the n_long longest lists (by default as many as
+def t_occurrence(lists: list[np.ndarray], t: int, n_long: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in at least t of the ascending lists, ascending, and in how many they are, by DivideSkip: the n_long longest lists (by default as many as
     balance merging and probing) are set aside and probed by binary search for what the others leave, until t is out of reach."""
     if t <= 0:
         raise ValueError("t must be positive")
-    lists = sorted((x for x in lists if x), key=len)
+    lists = sorted((x for x in lists if len(x)), key=len)
     if len(lists) < t:
-        return {}
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     if n_long is None:
         n_long = int(t / (MU * math.log2(max(2, len(lists[-1]))) + 1))
     n_long = max(0, min(t - 1, n_long))
-    long_ = lists[len(lists) - n_long :][::-1]
-    out = {}
-    for i, n in merge_lists(lists[: len(lists) - n_long], t - n_long):
-        for j, x in enumerate(long_):
-            if n + len(long_) - j < t:
-                break
-            place = bisect_left(x, i)
-            n += place < len(x) and x[place] == i
-        if n >= t:
-            out[i] = n
-    return out
+    merged = list(merge_lists([x.tolist() for x in lists[: len(lists) - n_long]], t - n_long))
+    ids, counts = (np.array([x[i] for x in merged], dtype=np.int64) for i in (0, 1))
+    for j, x in enumerate(lists[len(lists) - n_long :]):
+        if not len(ids):
+            break
+        place = np.minimum(np.searchsorted(x, ids), len(x) - 1)
+        counts += x[place] == ids
+        able = counts + (n_long - 1 - j) >= t
+        if not able.all():
+            ids, counts = ids[able], counts[able]
+    return ids, counts
 
 
 def search_block(sets: list[np.ndarray], num: int, den: int, queries: list[int] | None = None) -> list[tuple[int, int]]:
@@ -199,44 +201,60 @@ def search_block(sets: list[np.ndarray], num: int, den: int, queries: list[int]
             join(k, i)
         else:
             distinct.append(i)
+    if len(distinct) < 2:
+        return out
     distinct.sort(key=lambda i: (len(sets[i]), i))
     asked = None if queries is None else {first[sets[i].tobytes()] for i in queries if len(sets[i])}
-    # places in the inverted lists are ranks by size, so that a query's partners are a range of them
-    index: dict[int, list[int]] = {}
-    for r, i in enumerate(distinct):
-        for x in sets[i].tolist():
-            index.setdefault(x, []).append(r)
-    sizes = [len(sets[i]) for i in distinct]
+    # the inverted lists of all elements in a row; places in them are ranks by size, so that a query's partners are a range of them
+    sizes = np.array([len(sets[i]) for i in distinct], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    _, element = np.unique(np.concatenate([sets[i] for i in distinct]), return_inverse=True)
+    df = np.bincount(element)
+    list_at = np.cumsum(df) - df
+    postings = np.repeat(np.arange(len(distinct)), sizes)[np.argsort(element, kind="stable")]
+    links = np.zeros(len(distinct), dtype=np.int64)
+    owner = np.arange(len(distinct))  # by rank: the component, brought up to date when it changes
+    hub = 0
     for r, i in enumerate(distinct):
         if asked is not None and i not in asked:
             continue
-        n = sizes[r]
-        lo = bisect_left(sizes, -(-num * n // den))
-        hi = r if asked is None else bisect_left(sizes, n * den // num + 1)
+        n = int(sizes[r])
+        lo = int(np.searchsorted(sizes, -(-num * n // den)))
+        hi = r if asked is None else int(np.searchsorted(sizes, n * den // num, side="right"))
         if hi - lo < 1 or (hi - lo == 1 and lo == r):
             continue
-        t = least_overlap(n, sizes[lo], num, den)
-        order = sorted(sets[i].tolist(), key=lambda x: len(index[x]))
-        # as many long lists as T allows: in a group of near copies nearly all lists hold nearly all of it, and the few that are left hold what is rare.
-        # An id has t occurrences only if it is in one of these.
-        short = []
-        for x in order[: n - t + 1]:
-            own = index[x]
-            if len(own) > 1 and (part := own[bisect_left(own, lo) : bisect_left(own, hi)]) and part != [r]:
-                short.append(part)
-        if not short:
+        own = element[ends[r] - n : ends[r]]
+        shared = own[df[own] > 1]
+        t = least_overlap(n, int(sizes[lo]), num, den)
+        if len(shared) < t:
             continue
-        # the long lists are probed from the candidate's side, by binary search for their elements in its own set
-        rest = np.array(order[n - t + 1 :], dtype=U64)
-        for c, found in merge_lists(short, 1):
-            j = distinct[c]
-            # what is joined already needs no verification
-            if c == r or find(j) == find(i):
-                continue
-            place = np.searchsorted(sets[j], rest)
-            place[place == len(sets[j])] = 0
-            if found + int((sets[j][place] == rest).sum()) >= least_overlap(n, sizes[c], num, den):
-                join(j, i)
+
+        def linked(c: int, common: int, r: int = r, i: int = i, n: int = n) -> None:
+            nonlocal hub
+            if common < least_overlap(n, int(sizes[c]), num, den) or owner[c] == owner[r]:
+                return
+            join(distinct[c], i)
+            links[[c, r]] += 1
+            hub = max((hub, c, r), key=lambda x: links[x])
+            # the smaller rank of a component is its name
+            a, b = sorted((owner[c], owner[r]))
+            owner[owner == b] = a
+
+        # the document with the most links comes first: what it links to needs no further look at that component
+        if lo <= hub < hi and owner[hub] != owner[r]:
+            linked(hub, len(np.intersect1d(element[ends[hub] - sizes[hub] : ends[hub]], own, assume_unique=True)))
+        apart = owner != owner[r]
+        apart[:lo] = False
+        apart[hi:] = False
+        if not apart.any():
+            continue
+        lists = []
+        for e in shared.tolist():
+            x = postings[list_at[e] : list_at[e] + df[e]]
+            if len(x := x[apart[x]]):
+                lists.append(x)
+        for c, common in zip(*(x.tolist() for x in t_occurrence(lists, t))):
+            linked(c, common)
     return out
 
 
@@ -249,29 +267,109 @@ def _sets(rows, k: int):
             at += n
 
 
-def _star(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows ordered by (sig, doc): the first row of each sig, and (first, other) documents of the others, each pair once."""
-    order = np.lexsort((doc, sig))
-    sig, doc = sig[order], doc[order]
-    new = np.concatenate([[True], sig[1:] != sig[:-1]])
-    hub = doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    pairs = np.unique(np.stack([hub[~new], doc[~new]], axis=1), axis=0) if not new.all() else np.empty((0, 2), dtype=np.int64)
-    return order[new], pairs[:, 0], pairs[:, 1]
+def _set_keys(h: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, by which equal sets are told."""
+    if not len(h):
+        return 0, 0
+    return int(mix(h).sum(dtype=U64).view(np.int64)), int(mix(h * U64(0x9FB21C651E98DF25) + U64(1)).sum(dtype=U64).view(np.int64))
+
+
+#: A part of the signatures of a chunk of documents: their ids less base, how many signatures each has, and these in order, low and high bits apart.
+_DEALT = "part int, base long, docs binary, counts binary, low binary, high binary"
+#: A set's size and keys, or a pair.
+_ROUTED = "kind int, a long, b long, c long, d long"
+_SIZE, _PAIR = 0, 1
+
 
+def _routed_batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    columns = [*columns, *[np.zeros(len(columns[0]), dtype=np.int64)] * (4 - len(columns))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, dtype=np.int32)), *[pa.array(x, pa.int64()) for x in columns]], names=["kind", "a", "b", "c", "d"])
 
-_ROUTED = "kind int, key long, a long, b long"
-_SIGNATURE, _SIZE, _PAIR = 0, 1, 2
 
+def _pack(parts: int, ids: np.ndarray, each: np.ndarray, keys: np.ndarray, sizes: list[tuple]) -> pa.RecordBatch:
+    """A row for each part that has signatures, and one, of a negative part, for the sizes and set keys."""
+    rows = [(-1 - int(ids[0]) % parts, 0, ids.astype("<i8").tobytes(), b"", np.array(sizes, dtype="<i8").tobytes(), b"")]
+    at = ((keys >> U64(48)) % U64(parts)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    at, keys, doc = at[order], keys[order], np.repeat(np.arange(len(ids)), each)[order]
+    base = int(ids.min())
+    ids = ids - base
+    kind = "<u4" if ids.max() < 1 << 32 else "<i8"
+    cuts = np.flatnonzero(np.diff(at, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(at)]):
+        own = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
+        counts = np.diff(np.append(own, b - a))
+        k = keys[a:b]
+        rows.append((int(at[a]), base, ids[doc[a:b][own]].astype(kind).tobytes(), counts.astype("<u4").tobytes(), k.astype("<u4").tobytes(), (k >> U64(32)).astype("<u2").tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["part", "base", "docs", "counts", "low", "high"])
 
-def _batch(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), *[pa.array(x, pa.int64()) for x in (key, a, b)]], names=["kind", "key", "a", "b"])
 
+def _stars(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest, other) documents of each key, each pair once."""
+    order = np.argsort(keys, kind="stable")
+    keys, doc = keys[order], doc[order]
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(cuts, len(keys)))
+    hub = np.repeat(np.minimum.reduceat(doc, cuts), size)
+    other = hub != doc
+    pairs = np.unique(np.stack([hub[other], doc[other]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _meet(batches):
+    """Parts in order: links the documents of each signature with the smallest of them."""
+    part, keys, docs = None, [], []
+
+    def close():
+        if keys:
+            a, b = _stars(np.concatenate(keys), np.concatenate(docs))
+            if len(a):
+                yield _routed_batch(_PAIR, a, b)
+
+    for p, base, ids, counts, low, high in arrow_rows(batches, "part", "base", "docs", "counts", "low", "high"):
+        if p < 0:
+            x = np.frombuffer(low, "<i8").reshape(-1, 3)
+            yield _routed_batch(_SIZE, np.frombuffer(ids, "<i8"), x[:, 0], x[:, 1], x[:, 2])
+            continue
+        if p != part:
+            yield from close()
+            part, keys, docs = p, [], []
+        counts = np.frombuffer(counts, "<u4")
+        keys.append(np.frombuffer(low, "<u4").astype(U64) | np.frombuffer(high, "<u2").astype(U64) << U64(32))
+        docs.append(np.repeat(np.frombuffer(ids, "<u4" if len(ids) == 4 * len(counts) else "<i8").astype(np.int64) + base, counts))
+    yield from close()
+
+
+def _routed(rows: DataFrame, signed, n_bytes: int) -> DataFrame:
+    """rows to _ROUTED rows: each set's size and keys, and pairs that chain up documents with a signature in common. signed: batches to (id, set, signatures)."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
+
+    def deal(batches):
+        sig, who, sizes, seen, n = [], [], [], {}, 0
+
+        def flush():
+            ids, each = (np.array(x, dtype=np.int64) for x in zip(*who))
+            yield _pack(parts, ids, each, np.concatenate(sig), sizes)
+
+        for d, h, s in signed(batches):
+            k = _set_keys(h)
+            # a set that the chunk has already: its signatures need not go again if the documents are joined here
+            if len(s):
+                if (one := seen.setdefault(k, d)) != d:
+                    s = mix(np.array([one], dtype=np.int64).view(U64))
+                else:
+                    s = np.append(s, mix(np.array([d], dtype=np.int64).view(U64)))
+            sig.append(s)
+            who.append((d, len(s)))
+            sizes.append((len(h), *k))
+            n += len(s)
+            if n > DEALT:
+                yield from flush()
+                sig, who, sizes, seen, n = [], [], [], {}, 0
+        if who:
+            yield from flush()
 
-def _key(*ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ids[0]), dtype=U64)
-    for x in ids:
-        out = mix(out + x.astype(np.int64).view(U64) + U64(1))
-    return out.view(np.int64)
+    return rows.mapInArrow(deal, _DEALT).repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).sortWithinPartitions("part").mapInArrow(_meet, _ROUTED)
 
 
 def common_shingles(docs: DataFrame, k: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, ...]:
@@ -298,88 +396,48 @@ def common_shingles(docs: DataFrame, k: int, sample_docs: int = SAMPLE_DOCS) ->
     return tuple(t for t in tiers if len(t))
 
 
-def _flush(sig: list[np.ndarray], who: list[tuple[int, int, int]]):
-    ids, each, size = (np.array(x, dtype=np.int64) for x in zip(*who))
-    yield _batch(_SIZE, _key(ids), ids, size)
-    keys, doc = np.concatenate(sig).view(np.int64), np.repeat(ids, each)
-    if len(keys):
-        # those of one signature in a chunk meet here, and the first goes on for all
-        first, a, b = _star(keys, doc)
-        yield _batch(_SIGNATURE, keys[first], doc[first], doc[first])
-        if len(a):
-            yield _batch(_PAIR, _key(a, b), a, b)
-
-
-def _meet(batches):
-    """A stream ordered by (kind, key, a): links each signature's documents with its first."""
-    last_key = last_hub = None
-    for b in batches:
-        plain = b.column(0).to_numpy(zero_copy_only=False) == _SIGNATURE
-        if not plain.all():
-            yield b.filter(pa.array(~plain))
-        key, a = (b.column(i).to_numpy(zero_copy_only=False)[plain] for i in (1, 2))
-        if not len(key):
-            continue
-        new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-        hubs = np.concatenate([a[new], [0 if last_hub is None else last_hub]])
-        hub = hubs[np.cumsum(new) - 1]  # the last entry, -1, is the hub of the batch before
-        last_key, last_hub = key[-1], hub[-1]
-        other = ~new & (hub != a)
-        if other.any():
-            pairs = np.unique(np.stack([hub[other], a[other]], axis=1), axis=0)
-            yield _batch(_PAIR, np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
-
-
-def _routed(rows: DataFrame, signed) -> DataFrame:
-    """rows to _ROUTED rows: each document's set size, and pairs that chain up documents with a signature in common. signed: batches to (id, size, signatures)."""
-
-    def deal(batches):
-        sig, who, n = [], [], 0
-        for d, size, s in signed(batches):
-            sig.append(s)
-            who.append((d, len(s), size))
-            n += len(s)
-            if n > 1 << 20:
-                yield from _flush(sig, who)
-                sig, who, n = [], [], 0
-        if who:
-            yield from _flush(sig, who)
-
-    return rows.mapInArrow(deal, _ROUTED).repartition("key").sortWithinPartitions("kind", "key", "a").mapInArrow(_meet, _ROUTED)
-
-
 def route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, text) to _ROUTED rows."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def signed(batches):
         for d, h in _sets(arrow_rows(batches, "doc_id", "text"), k):
-            yield d, len(h), signatures(h, num, den, shared.value)
+            yield d, h, signatures(h, num, den, shared.value)
 
-    return _routed(docs, signed)
+    return _routed(docs, signed, n_bytes)
 
 
-def reroute(members: DataFrame, num: int, den: int, seed: int) -> DataFrame:
-    """(doc_id, component, h) to (node, component): smaller groups within the given ones; documents alone are left out."""
+def reroute(members: DataFrame, k: int, num: int, den: int, seed: int, n_bytes: int) -> DataFrame:
+    """(doc_id, component, text) to (node, component): smaller groups within the given ones; documents alone are left out."""
 
     def signed(batches):
-        for d, c, h in arrow_rows(batches, "doc_id", "component", "h"):
-            x = np.sort(mix(np.frombuffer(h, dtype=U64) ^ U64(0x5851F42D4C957F2D * (seed + 1) & (2**64 - 1))))
-            yield d, len(x), mix(signatures(x, num, den) ^ mix(np.array([c], dtype=np.int64).view(U64)))
+        for d, c, h in _sets(arrow_rows(batches, "doc_id", "component", "text"), k):
+            x = np.sort(mix(h ^ U64(0x5851F42D4C957F2D * (seed + 1) & (2**64 - 1))))
+            yield d, x, mix(signatures(x, num, den) ^ mix(np.array([c], dtype=np.int64).view(U64)))
 
-    return components(_routed(members.select("doc_id", "component", "h"), signed).where(F.col("kind") == _PAIR).select("a", "b"))
+    return components(_routed(members.select("doc_id", "component", "text"), signed, n_bytes).where(F.col("kind") == _PAIR).select("a", "b"))
 
 
-def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(component, salt, doc_id, h, q) to links (a, b), block by block: between all documents where none is a query, else from the queries."""
+def _search(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(component, salt, doc_id, text, q) to links (a, b), block by block: between all documents where none is a query, else from the queries."""
 
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_pylist()
-        asked = [i for i, q in enumerate(table.column("q").to_pylist()) if q]
-        found = search_block([np.frombuffer(x, dtype=U64) for x in table.column("h").to_pylist()], num, den, asked or None)
-        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+    def close(own):
+        if len(own) > 1:
+            asked = [i for i, x in enumerate(own) if x[3]]
+            if found := search_block([x[4] for x in own], num, den, asked or None):
+                yield pa.RecordBatch.from_arrays([pa.array([own[i][2] for i, _ in found], pa.int64()), pa.array([own[j][2] for _, j in found], pa.int64())], names=["a", "b"])
 
-    return rows.groupBy("component", "salt").applyInArrow(run, "a long, b long")
+    def run(batches):
+        own: list[tuple] = []
+        for x in _sets(arrow_rows(batches, "component", "salt", "doc_id", "q", "text"), k):
+            if own and own[0][:2] != x[:2]:
+                yield from close(own)
+                own = []
+            own.append(x)
+        yield from close(own)
+
+    return rows.repartition("component", "salt").sortWithinPartitions("component", "salt").mapInArrow(run, "a long, b long")
 
 
 def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, block: int = BLOCK) -> DataFrame:
@@ -387,41 +445,50 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
 
     Two documents link when den * |x & y| >= num * |x | y| over their sets of k-word shingles. A null text, and one without words, has no shingles
     and links with nothing. Rows without an id are left out. Repeated rows of an id count once; where their texts differ, each text
-    counts, and n_shingles is the largest. An empty table gives an empty result.
+    counts, and n_shingles is the largest. Other columns are not read. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     met = keep(route(docs, k, num, den))
-    sizes = met.where(F.col("kind") == _SIZE).groupBy(F.col("a").alias("doc_id")).agg(F.max("b").alias("n_shingles"))
-    coarse = components(met.where(F.col("kind") == _PAIR).select("a", "b"))
-
-    def sets(batches):
-        for d, h in _sets(arrow_rows(batches, "doc_id", "text"), k):
-            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([h.tobytes()], pa.binary())], names=["doc_id", "h"])
-
-    held = keep(docs.join(coarse.select(F.col("node").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, h binary"))
-    group = coarse
+    sets = met.where(F.col("kind") == _SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "c", "d")
+    pairs = met.where(F.col("kind") == _PAIR).select("a", "b")
+    # of equal sets the one with the smallest id stands for all
+    same = sets.where("n > 0").groupBy("n", "c", "d").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    copies = keep(sets.join(same.where("copies > 1"), ["n", "c", "d"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    coarse = components(pairs)
+    # an id with several texts can be a copy by one and stand alone by another, so that it stays where any of its rows is no copy
+    alone = sets.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).join(copies.groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("gone")), "doc_id", "left").where("rows > coalesce(gone, 0)")
+    group = coarse.join(alone.select(F.col("doc_id").alias("node"), "n"), "node")
+    weight = F.sum("n").alias("weight")
+
+    def of_size(of: DataFrame) -> DataFrame:
+        return of.groupBy("component").agg(weight, F.count("*").alias("members")).where("members > 1")
+
+    group = keep(group.join(of_size(group).select("component", "weight"), "component"))
     for seed in range(REROUTES):
-        large = keep(group.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > block).select("component"))
+        large = keep(group.where(F.col("weight") > block))
         if large.isEmpty():
             break
-        within = group.join(large, "component").select(F.col("node").alias("doc_id"), "component")
-        group = keep(group.join(large, "component", "left_anti").unionByName(reroute(held.join(within, "doc_id"), num, den, seed)))
-    counts = keep(group.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1"))
-    member = group.join(counts, "component", "left").select(F.col("node").alias("doc_id"), "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    members = held.join(member, "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    several = not counts.isEmpty()
+        n_bytes = large.agg(F.sum("n")).first()[0] * 8
+        split = reroute(docs.join(large.select(F.col("node").alias("doc_id"), "component"), "doc_id"), k, num, den, seed, n_bytes)
+        parted = large.drop("component", "weight").join(split, "node")
+        parted = parted.join(of_size(parted).select("component", "weight"), "component")
+        group = keep(group.where(F.col("weight") <= block).unionByName(parted))
+    blocks = F.ceil(F.col("weight") / block)
+    member = group.select(F.col("node").alias("doc_id"), "component", blocks.alias("blocks")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    members = docs.join(member.hint("shuffle_hash"), "doc_id").select("component", "salt", "blocks", "doc_id", "text")
+    several = not member.where("blocks > 1").isEmpty()
     if several:
         members = keep(members)
 
     def visit(queries: DataFrame, q: bool) -> DataFrame:
         """Queries in each block but their own."""
         at = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("salt")))
-        return queries.select("component", at.alias("salt"), "doc_id", "h", F.lit(q).alias("q"))
+        return queries.select("component", at.alias("salt"), "doc_id", "text", F.lit(q).alias("q"))
 
-    first = members.select("component", "salt", "doc_id", "h", F.lit(False).alias("q"))
+    first = members.select("component", "salt", "doc_id", "text", F.lit(False).alias("q"))
     if several:
         first = first.unionByName(visit(members.where("blocks > 1 AND doc_id = component"), False))
-    found = components(_search(first, num, den))
+    found = components(_search(first, k, num, den))
     if several:
         wide = keep(members.where("blocks > 1"))
         large = keep(wide.select("doc_id", F.col("component").alias("group")).distinct())
@@ -438,23 +505,32 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
             # drawn by a hash, as many of each group as the budget has in expectation, and all of a group that has few
             nxt = keep(rest.join(waiting, "group").where((F.col("n") <= 4 * budget) | (F.pmod(F.xxhash64("doc_id", F.lit(budget)), F.col("n")) < budget)).select("doc_id"))
             active = wide.join(waiting.select(F.col("group").alias("component")), "component", "left_semi")
-            index = active.select("component", "salt", "doc_id", "h", F.lit(False).alias("q"))
-            links = keep(_search(index.unionByName(visit(active.join(nxt, "doc_id", "left_semi"), True)), num, den))
+            index = active.select("component", "salt", "doc_id", "text", F.lit(False).alias("q"))
+            links = keep(_search(index.unionByName(visit(active.join(nxt, "doc_id", "left_semi"), True)), k, num, den))
             found = relabel(found, links)
             asked = keep(asked.unionByName(nxt))
             budget *= QUERY_GROWTH
+    found = relabel(found, copies)
+    sizes = sets.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     return sizes.join(found, sizes["doc_id"] == found["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of documents without those that are near copies of a row with a smaller id, directly or through others.
 
-    Rows without an id, a text or a word stay. Of repeated rows of an id one stays.
+    Rows without an id, a text or a word stay. Of equal rows one stays; rows that share an id and differ in their texts are judged one by one, and
+    of such rows in one group one stays. The columns stay as they are, and an empty table stays empty.
     """
-    found = link_components(docs, k, num, den)
-    gone = found.where("doc_id != component_id").select("doc_id")
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+        gone = link_components(docs, k, num, den).where("doc_id != component_id").select("doc_id")
+        return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    # a row's own number stands for its id, and the smallest id of a group tells which of its rows stays
+    own, mark = F.xxhash64("doc_id", "text"), "row"
+    while mark in {c.lower() for c in docs.columns}:
+        mark += "_"
+    named = docs.where("doc_id IS NOT NULL").withColumn(mark, own).dropDuplicates([mark])
+    found = link_components(named.select(F.col(mark).alias("doc_id"), "text"), k, num, den).select(F.col("doc_id").alias(mark), "component_id")
+    ids = named.select(mark, "doc_id").join(found, mark)
+    kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", mark)).alias("one")).select(F.col(f"one.{mark}").alias(mark))
+    return docs.where("doc_id IS NULL").unionByName(named.join(kept, mark, "left_semi").select(docs.columns))
