@@ -8,6 +8,9 @@ contexts are twins, and all of their context goes. For the others prefix polynom
 either side, verified against the bytes; with such comparisons mergesort orders them by right and by left extension. Joining
 neighbours in right order by descending common extension, the smaller set into the larger in left order, meets each occurrence's best partners:
 what L bytes to the left and R to the right have in common with L + R >= LENGTH goes.
+
+An anchor's occurrences are sorted in blocks of GROUP. Where there are several, each block hands on the windows that have this anchor, each of equal ones
+once; those that come from two blocks or more go wherever the sort hasn't found them yet.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from .common import U64, arrow_rows, in_chunks, keep, mix, powers, prefix_hashes
 
 LENGTH = 200
 GRAM = 32
-#: Occurrences of an anchor with different contexts that are sorted in one task; more are compared window by window in a shuffle.
+#: Occurrences of an anchor with different contexts that are sorted together, in a block; windows tell what blocks of one anchor have in common.
 GROUP = 4096
 
 _POS = 24
@@ -221,11 +224,12 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
 
     def meet(batches):
         # a stream ordered by (h, context); the last run of equal contexts waits for the next batch
-        held, last_h = None, None
+        held, last_h, counted = None, None, (None, 0)
         names = ("h", "context", "id", "row", "start", "lo", "hi")
 
         def settle(c, known_h, final):
             """Rows for all runs but the last, or for all."""
+            nonlocal counted
             new = np.concatenate([[True], (c["h"][1:] != c["h"][:-1]) | (c["context"][1:] != c["context"][:-1])])
             at = np.flatnonzero(new)
             size = np.diff(np.append(at, len(new)))
@@ -246,8 +250,13 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
                 out.append(_table(_SPAN, zero, zero, c["id"][go], c["row"][go], zero, (c["start"] - lo)[go], (c["start"] + c["hi"])[go]))
             pick = at[:keep_][many[:keep_]]
             if len(pick):
-                flag = settled[run[pick]]
-                out.append(_table(_SORT, c["h"][pick], flag.astype(np.int64), c["id"][pick], c["row"][pick], c["start"][pick], lo[pick], c["hi"][pick]))
+                flag, own = settled[run[pick]], c["h"][pick]
+                # an anchor's occurrences are numbered as they come, and so fall into blocks
+                begins = np.concatenate([[True], own[1:] != own[:-1]])
+                number = np.arange(len(pick)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+                number[own == own[0]] += counted[1] if counted[0] == own[0] else 0
+                counted = own[-1], int(number[-1]) + 1
+                out.append(_table(_SORT, own, (number // group << 1) | flag, c["id"][pick], c["row"][pick], c["start"][pick], lo[pick], c["hi"][pick]))
             if final:
                 return out, None, None
             tail = slice(at[-1], None)
@@ -278,60 +287,66 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
 
     met = keep(docs.mapInArrow(deal, _ROWS).repartition("h").sortWithinPartitions("kind", "h", "context").mapInArrow(meet, _ROWS))
     done = met.where(F.col("kind") == _SPAN).select("id", "row", "lo", "hi")
-    asked = met.where(F.col("kind") == _SORT).groupBy("id", "row").agg(F.collect_list(F.struct("h", "start", "lo", "hi", F.col("context").alias("settled"))).alias("at"))
+    asked = met.where(F.col("kind") == _SORT).groupBy("id", "row").agg(F.collect_list(F.struct("h", "start", "lo", "hi", F.col("context").alias("block"))).alias("at"))
 
     def show(batches):
         for i, r, t, at in arrow_rows(batches, "id", "row", "text", "at"):
             t = (t or "").encode("utf-8", "surrogatepass")
-            rows = [(x["h"], i, r, x["start"], x["settled"], t[x["start"] - x["lo"] : x["start"]], t[x["start"] : x["start"] + x["hi"]]) for x in at]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (*[pa.int64()] * 5, pa.binary(), pa.binary()))], names=["h", "id", "row", "start", "settled", "before", "after"])
+            rows = [(x["h"], x["block"] >> 1, i, r, x["start"], x["block"] & 1, t[x["start"] - x["lo"] : x["start"]], t[x["start"] : x["start"] + x["hi"]]) for x in at]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (*[pa.int64()] * 6, pa.binary(), pa.binary()))], names=["h", "block", "id", "row", "start", "settled", "before", "after"])
 
-    shown = docs.join(asked.hint("shuffle_hash"), ["id", "row"]).mapInArrow(show, "h long, id long, row long, start long, settled long, before binary, after binary")
+    shown = docs.join(asked.hint("shuffle_hash"), ["id", "row"]).mapInArrow(show, "h long, block long, id long, row long, start long, settled long, before binary, after binary")
 
     def spans(rows):
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(5)], names=["id", "row", "lo", "hi", "window"])
+        return pa.RecordBatch.from_arrays([*[pa.array([x[k] for x in rows], pa.int64()) for k in range(5)], pa.array([x[5] for x in rows], pa.bool_())], names=["id", "row", "lo", "hi", "window", "done"])
 
-    def windows(rows):
-        """(id, row, lo, hi, hash) of each window of the occurrences."""
-        for _, i, r, s, settled, x, y in rows:
+    def windows(own):
+        """(id, row, lo, hi, hash, whether it repeats in the block) of the windows with this anchor, each of equal ones once."""
+        first: dict[int, tuple] = {}
+        again: set[int] = set()
+        for _, _, i, r, s, settled, x, y in own:
             p = prefix_hashes(np.frombuffer(x + y, dtype=np.uint8))
             _, down = powers(len(p))
-            n = len(x) + len(y) - length + 1
-            w = mix((p[length:] - p[:-length]) * down[:n]).view(np.int64)
-            yield spans([(i, r, s - len(x) + k, s - len(x) + k + length, int(v)) for k, v in enumerate(w.tolist())])
+            n = len(x) + len(y)
+            grams = mix((p[gram:] - p[:-gram]) * down[: n - gram + 1])
+            low = sliding_minimum((grams >> U64(_POS) << U64(_POS)) | np.arange(len(grams), dtype=U64), length - gram + 1)
+            at = np.flatnonzero((low & U64((1 << _POS) - 1)) == U64(len(x)))
+            for k, w in zip(at.tolist(), mix((p[at + length] - p[at]) * down[at]).view(np.int64).tolist()):
+                if w in first:
+                    again.add(w)
+                else:
+                    first[w] = i, r, s - len(x) + k, s - len(x) + k + length, w
+                if settled:
+                    again.add(w)
+        if first:
+            yield spans([(*x, w in again) for w, x in first.items()])
 
     def solve(batches):
-        own, over = [], False
+        own = []
 
         def close():
-            if len(own) < 2 or over or all(x[4] for x in own):
-                return
-            out = [(x[1], x[2], x[3] - e[0], x[3] + e[1], None) for x, e in zip(own, extents([(x[5], x[6]) for x in own], length)) if e and not x[4]]
-            if out:
-                yield spans(out)
-
-        for x in arrow_rows(batches, "h", "id", "row", "start", "settled", "before", "after"):
-            if own and own[0][0] != x[0]:
+            if len(own) > 1 and not all(x[5] for x in own):
+                out = [(x[2], x[3], x[4] - e[0], x[4] + e[1], None, None) for x, e in zip(own, extents([(x[6], x[7]) for x in own], length)) if e and not x[5]]
+                if out:
+                    yield spans(out)
+            # a full block may have others beside it
+            if own and (own[0][1] or len(own) >= group):
+                yield from windows(own)
+
+        for x in arrow_rows(batches, "h", "block", "id", "row", "start", "settled", "before", "after"):
+            if own and own[0][:2] != x[:2]:
                 yield from close()
-                own, over = [], False
-            if over:
-                yield from windows([x])
-                continue
+                own = []
             own.append(x)
-            if len(own) > group:
-                over = True
-                yield from windows(own)
-                own = own[:1]
         yield from close()
 
-    solved = keep(shown.repartition("h").sortWithinPartitions("h").mapInArrow(solve, "id long, row long, lo long, hi long, window long"))
+    solved = keep(shown.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(solve, "id long, row long, lo long, hi long, window long, done boolean"))
     out = done.unionByName(solved.where("window IS NULL").select("id", "row", "lo", "hi"))
     wide = solved.where("window IS NOT NULL")
     if not wide.isEmpty():
-        # a window can come from several anchors of its place, so that places are told apart and not counted
-        place = F.struct("id", "row", "lo")
-        twice = keep(wide.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("window"))
-        out = out.unionByName(wide.join(twice, "window").select("id", "row", "lo", "hi"))
+        # a window has one anchor, and a block hands it on once
+        twice = wide.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+        out = out.unionByName(wide.where("NOT done").join(twice, "window").select("id", "row", "lo", "hi"))
     return out
 
 
