@@ -83,7 +83,7 @@ def g19_land_location(spark, sf):
     return location.locate_land_events(picks)
 
 
-@plan("""h AS (SELECT n_nationkey AS k, 'a' || n_nationkey AS assoc_id, n_nationkey * 0.01 - 62 AS la, n_regionkey * 0.1 - 59 AS lo FROM nation) SELECT assoc_id, round(la - (la + 0.01 * (k % 3)), 6) AS dlat, round(lo - (lo - 0.02), 6) AS dlon FROM h""")
+@plan("""h AS (SELECT n_nationkey AS k, 'a' || n_nationkey AS assoc_id, n_nationkey * 0.01::DOUBLE - 62 AS la, n_regionkey * 0.1::DOUBLE - 59 AS lo FROM nation) SELECT assoc_id, round(la - (la + 0.01::DOUBLE * (k % 3)), 6) AS dlat, round(lo - (lo - 0.02::DOUBLE), 6) AS dlon FROM h""")
 def g20_residual_vectors(spark, sf):
     n = table(spark, sf, "nation").select(F.concat(F.lit("a"), F.col("n_nationkey").cast("string")).alias("assoc_id"), (F.col("n_nationkey") * 0.01 - 62).alias("lat"), (F.col("n_regionkey") * 0.1 - 59).alias("lon"), "n_nationkey")
     seismic = n.select("assoc_id", (F.col("lat") + 0.01 * (F.col("n_nationkey") % 3)).alias("lat"), (F.col("lon") - 0.02).alias("lon"))

@@ -103,13 +103,14 @@ def w9_sta_lta(spark, sf):
     return v.select("event_id", F.round(F.when((F.col("i") < 30) | (F.col("lta") <= 0), 0.0).otherwise(F.col("sta") / F.col("lta")), 6).alias("ratio"))
 
 
-@plan(f"""m AS (SELECT event_id, count(*) OVER w AS n, avg(snr) OVER w AS m1, avg(snr * snr) OVER w AS m2, avg(snr * snr * snr) OVER w AS m3, avg(snr * snr * snr * snr) OVER w AS m4 FROM cat WINDOW w AS ({_W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
-SELECT event_id, round((m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / ((m2 - m1 * m1) * (m2 - m1 * m1)) - 3, 3) AS kurtosis FROM m WHERE n = 50""")
+@plan(f"""v AS (SELECT event_id, list(snr) OVER ({_W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS v FROM cat), m AS (SELECT *, list_avg(v) AS m FROM v WHERE len(v) = 50), d AS (SELECT event_id, list_transform(v, lambda x: x - m) AS d FROM m)
+SELECT event_id, round(list_avg(list_transform(d, lambda x: x * x * x * x)) / pow(list_avg(list_transform(d, lambda x: x * x)), 2) - 3, 3) + 0e0 AS kurtosis FROM d""")
 def w10_sliding_kurtosis(spark, sf):
-    w = _w().rowsBetween(-49, 0)
-    x = F.col("snr")
-    m = catalogue(spark, sf).select("event_id", F.count("*").over(w).alias("n"), *[F.avg(p).over(w).alias(f"m{i}") for i, p in enumerate((x, x * x, x * x * x, x * x * x * x), 1)]).where("n = 50")
-    return m.select("event_id", F.round(F.expr("(m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / ((m2 - m1 * m1) * (m2 - m1 * m1)) - 3"), 3).alias("kurtosis"))
+    """Excess kurtosis of the last 50 rows, about their own mean: raw moments would cancel."""
+    v = catalogue(spark, sf).select("event_id", F.collect_list("snr").over(_w().rowsBetween(-49, 0)).alias("v")).where(F.size("v") == 50)
+    d = v.select("event_id", F.expr("aggregate(v, 0D, (a, x) -> a + x) / 50").alias("m"), "v").select("event_id", F.expr("transform(v, x -> x - m)").alias("d"))
+    m2, m4 = (F.expr(f"aggregate(d, 0D, (a, x) -> a + {p}) / 50") for p in ("x * x", "x * x * x * x"))
+    return d.select("event_id", F.round(m4 / (m2 * m2) - 3, 3).alias("kurtosis"))
 
 
 @plan(f"s AS (SELECT event_id, mooring, onset_us, avg(snr) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM cat) SELECT event_id, round(s, 6) AS smooth, round((lead(s) OVER ({_W}) - lag(s) OVER ({_W})) / 2, 6) AS gradient FROM s")
