@@ -89,23 +89,30 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
-def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE, stem: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs without ASCII white space or what else stands between them, A-Z lower-cased) of all texts in a row, and the words' number in each text.
 
+    With stem the hashes are of each word's first bytes, so many at most, and which words are longer comes in the place of the numbers.
+
     A word's hash is the sum of scrambled (byte, place in the word) pairs, scrambled, which has no structure that words could be made to collide by.
     """
     buf = b"\n".join(texts).lower() + b"\n"
     codes = np.frombuffer(buf, dtype=np.uint8)
     inside = ~between[codes]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=np.int8(0)))
-    starts, ends = edge[0::2], edge[1::2]
-    size = ends - starts
+    starts, size = edge[0::2], edge[1::2] - edge[0::2]
+    if stem:
+        longer, size = size > stem, np.minimum(size, stem)
+        inside = np.zeros(len(codes), dtype=bool)
+        inside[np.repeat(starts - np.cumsum(size) + size, size) + np.arange(int(size.sum()))] = True
     place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     if len(place) and place.max() < len(_PAIRS):
         sums = _PAIRS[place, codes[inside]]
     else:
         sums = mix((place.astype(U64) << U64(8) | codes[inside]) + U64(0x2545F4914F6CDD1D))
     words = mix(np.add.reduceat(sums, np.cumsum(size) - size)) if len(size) else np.empty(0, dtype=U64)
+    if stem:
+        return words, longer
     at = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
     upto = np.searchsorted(starts, at)
     return words, np.diff(upto, prepend=0)

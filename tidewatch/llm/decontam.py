@@ -154,8 +154,9 @@ def _hits(bench: Benchmark, texts: list[str | None]):
 
 
 def _parts(benchmark: DataFrame, part_bytes: int) -> list[DataFrame]:
+    """Items of about so many bytes each; all rows of an id are in one, where its best match is taken."""
     n = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // part_bytes + 1
-    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+    return [benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, part_bytes: int = PART_BYTES) -> DataFrame:

@@ -4,14 +4,15 @@ An Aho-Corasick automaton finds at-signs, schemes and identifier cues; a parser
 validates what it finds. Numbers have no rarer anchor than their digits, so their parsers walk the runs of digits.
 
 Kinds: email, ip, card and phone as the base definitions have them, and from the method url (after a scheme), handle (an at-sign
-with a name behind it and none before it), iban (validated by its remainder) and account (a cue such as "account" or "ssn"
-followed by an identifier). The added kinds take only what no base span covers. Positions are code points, the end exclusive.
+with a name behind it and none before it), iban (validated by its remainder), account (a cue such as "account" or "ssn"
+followed by an identifier) and secret (a cue such as "token" with a value of 16 characters or more, letters and digits both). The added kinds take only what no base span covers. Positions are code points, the end exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import ahocorasick
 import pyarrow as pa
@@ -21,25 +22,29 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, in_chunks
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "iban", "account", "handle")
+KINDS = (*BASE_KINDS, "url", "iban", "account", "handle", "secret")
 #: Anchors of the added kinds.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "customer id", "user id", "member id", "licence", "license no")
 
+SECRETS = ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "api-key", "access key", "access_key", "private key", "private_key")
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+")
-_IDENT = re.compile(r"(?:\s?(?:number|no\.?|nr\.?|id|code|#))?\s?[:#=]\s?([A-Za-z0-9](?:[A-Za-z0-9]|[-/](?=[A-Za-z0-9])){4,33})(?![A-Za-z0-9])")
+_LEAD = re.compile(r"(?:\s?(?:number|no\.?|nr\.?|id|code|#))?\s?[:#=]\s?")
+_IDENT = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9]|[-/](?=[A-Za-z0-9])){4,33}(?![A-Za-z0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_VALUE = re.compile(r"\s?[:=]{1,2}\s?[\"'`]?([A-Za-z0-9_\-+/.~]{16,}+={0,2})")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,30}")
 
 
 def _automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
-    for w in ("@", *SCHEMES, *CUES):
+    for w in ("@", *SCHEMES, *CUES, *SECRETS):
         out.add_word(w, w)
     out.make_automaton()
     return out
@@ -48,6 +53,9 @@ def _automaton() -> ahocorasick.Automaton:
 _ANCHORS = _automaton()
 
 
+_SECRETS = frozenset(SECRETS)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -98,11 +106,20 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if 10 <= sum(map(str.isdigit, m[0])) <= 15:
                 out.append((*m.span(), "phone"))
     if hits:
-        taken = sorted((a, b) for a, b, _ in out)
+        # what is covered, as ascending runs that do not overlap
+        begins, ends = [], []
+        for a, b, _ in sorted(out):
+            if begins and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                begins.append(a)
+                ends.append(b)
 
         def add(kind: str, a: int, b: int) -> None:
-            if all(b <= x or y <= a for x, y in taken):
-                taken.append((a, b))
+            i = bisect_left(begins, b)
+            if not i or ends[i - 1] <= a:
+                begins.insert(i, a)
+                ends.insert(i, b)
                 out.append((a, b, kind))
 
         for at, w in hits:
@@ -113,13 +130,16 @@ def find(text: str) -> list[tuple[int, int, str]]:
                     end = m.start() + len(m[0].rstrip(".,;:!?'()[]"))
                     if "." in text[m.start() : end]:
                         add("url", at, end)
+            elif w in _SECRETS:
+                if (m := _VALUE.match(text, at + len(w))) and any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]):
+                    add("secret", *m.span(1))
             elif at == 0 or not text[at - 1].isalnum():
-                if (m := _IDENT.match(text, at + len(w))) and any(c.isdigit() for c in m[1]):
-                    iban = _IBAN.match(text, m.start(1))
+                if m := _LEAD.match(text, at + len(w)):
+                    iban, ident = _IBAN.match(text, m.end()), _IDENT.match(text, m.end())
                     if iban and _iban_ok(iban[0]):
                         add("iban", *iban.span())
-                    elif sum(map(str.isdigit, m[1])) >= 4:
-                        add("account", *m.span(1))
+                    elif ident and sum(map(str.isdigit, ident[0])) >= 4:
+                        add("account", *ident.span())
         for at in ats:
             if (at == 0 or text[at - 1].isspace()) and (m := _NAME.match(text, at + 1)):
                 add("handle", at, m.end())
