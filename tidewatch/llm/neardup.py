@@ -82,6 +82,8 @@ def _plan(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
     return out
 
 
+#: Edges of so many buckets at most are kept by a worker.
+KEPT_EDGES = 512
 _EDGES: dict[int, np.ndarray] = {}
 
 
@@ -98,7 +100,9 @@ def signatures(h: np.ndarray, num: int, den: int, common: tuple[np.ndarray, ...]
     for g, k, spare in _plan(n, num, den):
         edges = _EDGES.get(k)
         if edges is None:
-            edges = _EDGES[k] = (np.arange(1, k, dtype=np.float64) / k * 2.0**64).astype(U64)
+            edges = (np.arange(1, k, dtype=np.float64) / k * 2.0**64).astype(U64)
+            if k <= KEPT_EDGES:
+                _EDGES[k] = edges
         for tier in range(len(common) + 1):
             if tier not in parts:
                 s = h

@@ -19,10 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
-#: A worker forgets its pieces when it holds so many.
-CACHE_PIECES = 1_000_000
+#: A worker forgets the pieces that it has not just met when it holds so many.
+CACHE_PIECES = 500_000
 #: Bytes of text that are encoded at a time; a longer text is one slice.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 22
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Any white space before a blank.
 _BEFORE_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
@@ -48,13 +48,17 @@ class Encoder:
             self.runs, self.pieces = f"^{_SEEN}+$", re.compile(f"\0|[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
         else:
             self.runs, self.pieces = f"^{_SEEN}(\n?{_SEEN})*\n?$", re.compile(f"\0| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
-        self._forget()
-
-    def _forget(self) -> None:
-        # the zero byte, which parts runs, has place 0 and no ids
         self.known: dict[str, int] = {"\0": 0}
-        self.ids, self.used = np.empty(1 << 16, dtype=np.uint32), 0
-        self.begin, self.size = (np.zeros(1 << 14, dtype=np.int64) for _ in range(2))
+        self.ids, self.used = np.empty(0, dtype=np.uint32), 0
+        self.begin, self.size = (np.zeros(1, dtype=np.int64) for _ in range(2))
+
+    def _keep(self, pieces: list[str]) -> None:
+        """Forget all pieces but these, which are known; the zero byte, which parts runs, has place 0 and no ids."""
+        at = np.array([0, *map(self.known.__getitem__, pieces)], dtype=np.int64)
+        self.size = self.size[at]
+        self.ids, ends = _gather(self.ids, self.begin[at], self.size)
+        self.begin, self.used = ends - self.size, len(self.ids)
+        self.known = {"\0": 0} | dict(zip(pieces, range(1, len(at))))
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,10 +83,11 @@ class Encoder:
     def _cut(self, runs: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids, and their number for each run, of runs with a zero byte after each."""
         pieces = self.pieces.findall(runs.lower() if self.drops_space else runs)
-        new = set(pieces) - self.known.keys()
+        own = set(pieces)
+        new = own - self.known.keys()
         if len(self.known) + len(new) > CACHE_PIECES:
-            self._forget()
-            new = set(pieces) - self.known.keys()
+            # what comes up often comes up in this slice as well
+            self._keep(list(own - new - {"\0"}))
         self._learn(list(new))
         at = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         ids, ends = _gather(self.ids, self.begin[at], self.size[at])
@@ -166,6 +171,8 @@ def encoded(batches, vocabulary: str, drops_space: bool, end: int, size: int = S
             ends = np.cumsum(counts)
             yield b.slice(at, to - at), np.insert(ids, ends, np.uint32(end)), ends + np.arange(1, len(ends) + 1)
             at = to
+    # a worker that waits for its next task holds its pieces and no more
+    pa.default_memory_pool().release_unused()
 
 
 def resolve(name: str) -> str:
