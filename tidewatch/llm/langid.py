@@ -62,6 +62,25 @@ def _counts(s: np.ndarray, ok: np.ndarray, order: int, a: int) -> tuple[np.ndarr
     return key // a, key % a, n
 
 
+def _stats(texts: list[bytes], symbol: np.ndarray, a: int, piece: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, symbol, times) of each order, of a few texts or pieces of one at a time."""
+    found: list[list[tuple]] = [[] for _ in range(4)]
+    for t in texts:
+        for at in range(0, len(t), piece):
+            # three symbols go before a piece: those of the text, and zeros at its start
+            s = np.concatenate([np.zeros(3, dtype=np.int64), symbol[np.frombuffer(t[max(0, at - 3) : at + piece], dtype=np.uint8)]])[min(at, 3) :]
+            ok = np.arange(len(s)) >= 3
+            for order in range(4):
+                ctx, sym, n = _counts(s, ok, order, a)
+                found[order].append((ctx * a + sym, n))
+    out = []
+    for own in found:
+        key, at = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([n for _, n in own])).astype(np.int64)
+        out.append((key // a, key % a, n))
+    return out
+
+
 def fit(samples: dict[str, list[bytes]]) -> Model | None:
     langs = sorted(k for k, v in samples.items() if any(v))
     if not langs:
@@ -75,12 +94,7 @@ def fit(samples: dict[str, list[bytes]]) -> Model | None:
     a = int(seen.sum()) + 1
     stats = []
     for k in langs:
-        s, ok = [], []
-        for t in samples[k]:
-            s += [np.zeros(3, dtype=np.int64), symbol[np.frombuffer(t, dtype=np.uint8)].astype(np.int64)]
-            ok += [np.zeros(3, dtype=bool), np.ones(len(t), dtype=bool)]
-        s, ok = np.concatenate(s), np.concatenate(ok)
-        stats.append([_counts(s, ok, order, a) for order in range(4)])
+        stats.append(_stats(samples[k], symbol, a))
     contexts = np.unique(np.concatenate([x[3][0] for x in stats]))
     node = np.full(a**3, -1, dtype=np.int32)
     node[contexts] = np.arange(len(contexts))

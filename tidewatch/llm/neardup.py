@@ -376,9 +376,9 @@ def _routed(rows: DataFrame, signed, n_bytes: int) -> DataFrame:
     return rows.mapInArrow(deal, _DEALT).repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).sortWithinPartitions("part").mapInArrow(_meet, _ROUTED)
 
 
-def common_shingles(docs: DataFrame, k: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, ...]:
+def common_shingles(docs: DataFrame, k: int, n_docs: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, ...]:
     """Hashes of shingles in several documents of a sample, ascending, a tier for each of TIERS; at most MAX_COMMON."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
+    share = min(1.0, sample_docs / max(1, n_docs))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
     def run(batches):
@@ -394,16 +394,17 @@ def common_shingles(docs: DataFrame, k: int, sample_docs: int = SAMPLE_DOCS) ->
         least = n
     if least is None:
         return ()
-    got = counts.where(F.col("n") >= least).toPandas()
-    h, n = got["h"].to_numpy(np.int64).view(U64), got["n"].to_numpy()
+    got = counts.where(F.col("n") >= least).select("h", "n").toArrow()
+    h, n = (got.column(i).to_numpy() for i in (0, 1))
+    h = h.view(U64)
     tiers = [np.sort(h[n >= t]) for t in TIERS]
     return tuple(t for t in tiers if len(t))
 
 
 def route(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, text) to _ROUTED rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k, n_docs))
 
     def signed(batches):
         for d, h in _sets(arrow_rows(batches, "doc_id", "text"), k):

@@ -159,9 +159,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     cut = keep(cut)
     tagged = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(GROUPS)).cast("int"))
     items = tagged.where(F.col("length") < capacity)
-    sizes = items.groupBy("part", "length").agg(F.count("*").alias("n")).toPandas()
+    sizes = items.groupBy("part", "length").agg(F.count("*").alias("n")).select("part", "length", "n").toArrow()
     table = np.zeros((GROUPS, capacity), dtype=np.int64)
-    table[sizes["part"], sizes["length"]] = sizes["n"]
+    part, length, n = (sizes.column(i).to_numpy() for i in range(3))
+    table[part, length] = n
     patterns = plan({int(x): int(n) for x, n in enumerate(table.sum(axis=0)) if n}, capacity)
     used = sum(k for _, k in patterns)
     shared = cut.sparkSession.sparkContext.broadcast((np.cumsum(table, axis=0) - table, _slots(patterns)))
