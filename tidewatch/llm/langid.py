@@ -22,6 +22,8 @@ from .common import arrow_rows, in_chunks
 TRAIN_BYTES = 1_500_000
 #: The driver fits at most so many languages; with more it stops.
 MAX_LANGUAGES = 64
+#: Bytes of text that are coded at a time: each takes some hundred bytes of memory.
+CHUNK_BYTES = 1 << 19
 #: A text that its best language codes worse than plain bytes would be is in none of the languages.
 PLAIN_BITS = 8.0
 UND = "und"
@@ -192,7 +194,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for chunk in in_chunks(((i, t, None if t is None else t.encode("utf-8", "replace")) for i, t in arrow_rows(batches, "doc_id", "text")), 2):
+        for chunk in in_chunks(((i, t, None if t is None else t.encode("utf-8", "replace")) for i, t in arrow_rows(batches, "doc_id", "text")), 2, CHUNK_BYTES):
             ok = [m is not None and t is not None and _LETTER.search(t) is not None for _, t, _ in chunk]
             pred, score, bits = [UND] * len(chunk), [0.0] * len(chunk), [None] * len(chunk)
             if any(ok):
@@ -231,7 +233,7 @@ def accepted(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
         m = shared.value
         for b in batches:
             good = []
-            for chunk in in_chunks(((t, None if t is None else t.encode("utf-8", "replace")) for (t,) in arrow_rows([b], "text")), 1):
+            for chunk in in_chunks(((t, None if t is None else t.encode("utf-8", "replace")) for (t,) in arrow_rows([b], "text")), 1, CHUNK_BYTES):
                 ok = np.array([m is not None and t is not None and _LETTER.search(t) is not None for t, _ in chunk])
                 if ok.any():
                     texts = [x for (_, x), y in zip(chunk, ok) if y]

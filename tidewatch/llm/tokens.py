@@ -19,8 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
-#: A worker forgets the pieces that it has not just met when it holds so many.
-CACHE_PIECES = 500_000
+#: A worker forgets the pieces that it has not just met when it holds so many, and between tasks.
+CACHE_PIECES, IDLE_PIECES = 300_000, 50_000
 #: Bytes of text that are encoded at a time; a longer text is one slice.
 SLICE_BYTES = 1 << 22
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -49,6 +49,7 @@ class Encoder:
         else:
             self.runs, self.pieces = f"^{_SEEN}(\n?{_SEEN})*\n?$", re.compile(f"\0| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
         self.known: dict[str, int] = {"\0": 0}
+        self.met: set[str] = set()
         self.ids, self.used = np.empty(0, dtype=np.uint32), 0
         self.begin, self.size = (np.zeros(1, dtype=np.int64) for _ in range(2))
 
@@ -60,6 +61,13 @@ class Encoder:
         self.begin, self.used = ends - self.size, len(self.ids)
         self.known = {"\0": 0} | dict(zip(pieces, range(1, len(at))))
 
+    def idle(self) -> None:
+        """What comes up often comes up in any slice: only the last one's pieces are held between tasks."""
+        if len(self.known) > IDLE_PIECES:
+            self._keep(list(self.met - {"\0"}))
+        self.met = set()
+        pa.default_memory_pool().release_unused()
+
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -89,6 +97,7 @@ class Encoder:
             # what comes up often comes up in this slice as well
             self._keep(list(own - new - {"\0"}))
         self._learn(list(new))
+        self.met = own
         at = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         ids, ends = _gather(self.ids, self.begin[at], self.size[at])
         return ids, np.diff(ends[at == 0], prepend=0)
@@ -171,8 +180,7 @@ def encoded(batches, vocabulary: str, drops_space: bool, end: int, size: int = S
             ends = np.cumsum(counts)
             yield b.slice(at, to - at), np.insert(ids, ends, np.uint32(end)), ends + np.arange(1, len(ends) + 1)
             at = to
-    # a worker that waits for its next task holds its pieces and no more
-    pa.default_memory_pool().release_unused()
+    enc.idle()
 
 
 def resolve(name: str) -> str:
