@@ -330,7 +330,7 @@ def test_op9(spark, docs, none):
     assert decontam.clean(docs, items.limit(0)).count() == docs.count()
 
 
-#: The bar stands; sf0.01 has 34 labelled toxic documents to learn four languages from, and 8 of its 10 held-out ones are found. test_more.py holds the bar at sf0.1.
+#: The bar stands; sf0.01 has 41 labelled toxic documents to learn four languages from, and 8 of its 10 held-out ones are found. test_more.py holds the bar at sf0.1.
 @pytest.mark.xfail(reason="8 of 10: too few labels at sf0.01", strict=False)
 def test_op10_held_out(spark, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
