@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, langid, neardup, packing, pii, suffixes, toxicity, unigram, wavelet
+from . import decontam, embeddings, langid, neardup, packing, phrases, pii, suffixes, toxicity, unigram, wavelet
 from .common import shared_folder, table
 
 
@@ -50,13 +50,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best collocations over all documents; null texts are empty, null languages `und`, an empty table gives no rows."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_embedding_near_dedup, op4_best_fit_packing, op5_token_id_output, op6_personal_data, op7_language_id, op8_token_counts, op9_benchmark_decontamination, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_embedding_near_dedup, op4_best_fit_packing, op5_token_id_output, op6_personal_data, op7_language_id, op8_token_counts, op9_benchmark_decontamination, op10_toxicity, op11_phrase_collocations, pipeline)}
 
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": r"""
@@ -77,5 +82,27 @@ pairs AS (
 )
 SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, coalesce(min(reach.r), d.doc_id) AS component_id
 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN sizes z USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id
+""",
+    "op11_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), runs AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM runs, (SELECT unnest([1, 2, 3, 4]) AS m)
+), f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w)) AS n FROM runs GROUP BY lang),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+subs AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, m, s, unnest(range(1, m - s + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS s) WHERE s < m) GROUP BY ALL
+), kept AS (SELECT c.* FROM c LEFT JOIN subs USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:m], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, x.a AS l, y.a AS r, (2000000::HUGEINT * cuts.a) // (x.a + y.a) AS score, k
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
 }
