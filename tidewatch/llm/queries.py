@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, langid, neardup, packing, phrases, pii, suffixes, toxicity, unigram, wavelet
+from . import decontam, embeddings, langid, neardup, packing, phrases, pii, spelling, suffixes, toxicity, unigram, wavelet
 from .common import shared_folder, table
 
 
@@ -55,13 +55,18 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of all documents; null texts have no words, repeated rows count each, an empty table gives no rows."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_embedding_near_dedup, op4_best_fit_packing, op5_token_id_output, op6_personal_data, op7_language_id, op8_token_counts, op9_benchmark_decontamination, op10_toxicity, op11_phrase_collocations, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_embedding_near_dedup, op4_best_fit_packing, op5_token_id_output, op6_personal_data, op7_language_id, op8_token_counts, op9_benchmark_decontamination, op10_toxicity, op11_phrase_collocations, op12_spelling_variants, pipeline)}
 
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": r"""
@@ -104,5 +109,32 @@ scored AS (
 ), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest)
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i AS c FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents WHERE text IS NOT NULL
+), own AS (SELECT run, count(*) AS times, hex(encode(d || ':' || run)) AS x FROM runs GROUP BY d, run),
+sums AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x) // 2 + 1), lambda i: ('0x' || x[2 * i - 1:2 * i])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM own, crc
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(times)::BIGINT AS n
+  FROM sums GROUP BY 1 HAVING length(word) >= 5 AND sum(times) >= 3
+), places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+open AS (SELECT word, n, i, word[1:i] AS p, word[i + 2:] AS s FROM places),
+less AS (SELECT DISTINCT word, n, p || s AS d FROM open),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM open a JOIN open b ON a.i = b.i AND a.p = b.p AND a.s = b.s AND a.word <> b.word
+  UNION ALL SELECT l.word, l.n, w.word, w.n FROM less l JOIN words w ON l.d = w.word
+  UNION ALL SELECT w.word, w.n, l.word, l.n FROM less l JOIN words w ON l.d = w.word
+), best AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, encode(other)) = 1),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 2 * w.n THEN b.other END AS form, CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n FROM words w LEFT JOIN best b USING (word)),
+ways AS (SELECT word, word AS root FROM forms UNION ALL SELECT ways.word, f.form FROM ways JOIN forms f ON f.word = ways.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n
+FROM ways w JOIN forms last ON last.word = w.root AND last.form IS NULL JOIN forms f ON f.word = w.word
 """,
 }
