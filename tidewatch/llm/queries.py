@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, embeddings, langid, neardup, packing, phrases, pii, spelling, suffixes, toxicity, unigram, wavelet
+from . import decontam, embeddings, langid, maintext, neardup, packing, phrases, pii, spelling, suffixes, toxicity, unigram, wavelet
 from .common import shared_folder, table
 
 
@@ -60,13 +60,18 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; a null html gives an empty text, every row one row, an empty table none."""
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_embedding_near_dedup, op4_best_fit_packing, op5_token_id_output, op6_personal_data, op7_language_id, op8_token_counts, op9_benchmark_decontamination, op10_toxicity, op11_phrase_collocations, op12_spelling_variants, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_embedding_near_dedup, op4_best_fit_packing, op5_token_id_output, op6_personal_data, op7_language_id, op8_token_counts, op9_benchmark_decontamination, op10_toxicity, op11_phrase_collocations, op12_spelling_variants, op13_main_text, pipeline)}
 
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": r"""
