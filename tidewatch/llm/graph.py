@@ -17,12 +17,8 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _local(batches):
-    """All edges of a bounded table in one task: minima along edges and through labels until nothing changes."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not got:
-        return
-    u, v = (np.concatenate(x) for x in zip(*got))
+def lowest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (u, v) and the smallest that each reaches: minima along edges and through labels until nothing changes."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = at[: len(u)], at[len(u) :]
     low = np.arange(len(nodes))
@@ -34,9 +30,16 @@ def _local(batches):
         while (new[new] != new).any():
             new = new[new]
         if (new == low).all():
-            break
+            return nodes, nodes[low]
         low = new
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[low], pa.int64())], names=["node", "component"])
+
+
+def _local(batches):
+    """All edges of a bounded table in one task."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if got:
+        nodes, low = lowest(*(np.concatenate(x) for x in zip(*got)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(low, pa.int64())], names=["node", "component"])
 
 
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, arrow_rows, in_chunks, keep, mix, shingle_hashes, word_hashes
-from .graph import components, relabel
+from .graph import components, lowest, relabel
 
 #: Set elements searched against each other in one task.
 BLOCK = 1 << 20
@@ -37,8 +37,9 @@ REROUTES = 2
 QUERIES, QUERY_GROWTH = 64, 8
 #: DivideSkip's trade-off between merging and probing.
 MU = 0.0085
-#: Signatures that are dealt at a time, and bytes of text for each part that signatures meet in.
-DEALT, PART_BYTES = 1 << 20, 1 << 24
+#: Signatures that are dealt at a time, bytes of text for each task in which signatures meet, and the fewest parts in which they do.
+#: With fewer parts than a document has signatures more of its links would come up in one part: the rows would grow faster than the input.
+DEALT, PART_BYTES, MIN_PARTS = 1 << 20, 1 << 24, 64
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -321,14 +322,14 @@ def _stars(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(batches):
-    """Parts in order: links the documents of each signature with the smallest of them."""
+    """Parts in order: links the documents of each signature with the smallest of them, and through these with the smallest that they reach in the part."""
     part, keys, docs = None, [], []
 
     def close():
         if keys:
-            a, b = _stars(np.concatenate(keys), np.concatenate(docs))
+            b, a = lowest(*_stars(np.concatenate(keys), np.concatenate(docs)))
             if len(a):
-                yield _routed_batch(_PAIR, a, b)
+                yield _routed_batch(_PAIR, a[a != b], b[a != b])
 
     for p, base, ids, counts, low, high in arrow_rows(batches, "part", "base", "docs", "counts", "low", "high"):
         if p < 0:
@@ -346,7 +347,8 @@ def _meet(batches):
 
 def _routed(rows: DataFrame, signed, n_bytes: int) -> DataFrame:
     """rows to _ROUTED rows: each set's size and keys, and pairs that chain up documents with a signature in common. signed: batches to (id, set, signatures)."""
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
+    parts = tasks * -(-MIN_PARTS // tasks)
 
     def deal(batches):
         sig, who, sizes, seen, n = [], [], [], {}, 0
@@ -373,7 +375,7 @@ def _routed(rows: DataFrame, signed, n_bytes: int) -> DataFrame:
         if who:
             yield from flush()
 
-    return rows.mapInArrow(deal, _DEALT).repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).sortWithinPartitions("part").mapInArrow(_meet, _ROUTED)
+    return rows.mapInArrow(deal, _DEALT).repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part").mapInArrow(_meet, _ROUTED)
 
 
 def common_shingles(docs: DataFrame, k: int, n_docs: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, ...]:
