@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import association, detection, location, ml
+from ..shared import shared_folder
 from ..sources.tables import catalogue, table
 from .registry import plan
 
@@ -58,6 +61,17 @@ def g3_greedy_association(spark, sf):
     return association.associate(catalogue(spark, sf)).select("assoc_id", "n_moorings", "moorings", "n_events", "event_ids", "earliest_us", "latest_us", "dt_s", "detection_band")
 
 
+@plan()
+def g4_resumable_association(spark, sf):
+    """The greedy association in committed steps, stopped after two of them and gone on with."""
+    path = f"{shared_folder(spark)}/association-{uuid.uuid4().hex}"
+    c = catalogue(spark, sf)
+    found = association.associate_resumable(c, path, stop_after=2)
+    if found is None:
+        found = association.associate_resumable(c, path)
+    return found.select("assoc_id", "n_moorings", "moorings", "n_events", "event_ids", "earliest_us", "latest_us", "dt_s", "detection_band")
+
+
 @plan()
 def g6_pruned_association(spark, sf):
     return association.associate(catalogue(spark, sf), spatial=True, prefix="T", digits=7)
