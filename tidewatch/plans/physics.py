@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import association, detection, location, ml
-from ..shared import shared_folder
+from ..operators import association, detection, location, ml, recovery
+from ..shared import keep, shared_folder
 from ..sources.tables import catalogue, table
 from .registry import plan
 
@@ -89,6 +89,25 @@ def g7_to_g13_location(spark, sf):
     return location.locate_associations(_arrivals(spark, sf))
 
 
+def _recovered(spark, sf, exclusive):
+    c = catalogue(spark, sf)
+    x = keep(_arrivals(spark, sf))
+    three = x.join(x.groupBy("assoc_id").count().where("count = 3"), "assoc_id", "left_semi")
+    return recovery.recover(location.locate_associations(three), x, c, exclusive)
+
+
+@plan()
+def g18_pick_recovery(spark, sf):
+    """The strongest pick of each missing station in the window that all picks of an association leave, and the place with it."""
+    return _recovered(spark, sf, False)
+
+
+@plan()
+def g18_one_to_one_recovery(spark, sf):
+    """The same with each pick in one association at most."""
+    return _recovered(spark, sf, True)
+
+
 @plan()
 def g19_land_location(spark, sf):
     """Lineitems as phase picks of stations on a circle."""
