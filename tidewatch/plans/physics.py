@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import association, detection, location, ml, recovery
+from ..operators import association, density, detection, location, ml, recovery
 from ..shared import keep, shared_folder
 from ..sources.tables import catalogue, table
 from .registry import plan
@@ -150,6 +150,13 @@ def m3_clusters(spark, sf):
     return ml.cluster(table(spark, sf, "embeddings"), "embedding", 10, least=5).select("vec_id", "cluster")
 
 
+@plan()
+def m3_density_clusters(spark, sf):
+    """Density clusters of 20 points at least on the first two components, by their 5th neighbours."""
+    two = ml.principal_components(table(spark, sf, "embeddings"), "embedding").select("vec_id", F.slice("pc", 1, 2).alias("x"))
+    return density.cluster(two, "vec_id", "x", 20, 5)
+
+
 @plan()
 def m4_stability(spark, sf):
     return ml.stability(table(spark, sf, "embeddings"), "embedding", 8, least=5)
