@@ -18,13 +18,14 @@ def recorder_micros(raw: Column) -> Column:
 
 
 def compact_micros(raw: Column) -> Column:
-    """Microseconds of YYYYDDDHHMMSSff; null if it is shorter or no number."""
+    """Microseconds of YYYYDDDHHMMSSff; null if it is shorter than that or a part is no number."""
+
     def part(at: int, size: int) -> Column:
         return F.substring(raw, at, size).try_cast("int")
 
     day = F.date_add(F.make_date(part(1, 4), F.lit(1), F.lit(1)), part(5, 3) - 1)
     us = ((F.unix_date(day).cast("long") * 24 + part(8, 2)) * 60 + part(10, 2)) * 60_000_000 + part(12, 2).cast("long") * 1_000_000
-    return F.when(F.length(raw) >= 14, us + F.coalesce(part(14, 2), F.lit(0)) * 10_000)
+    return F.when(F.length(raw) >= 14, us + part(14, 1 << 30) * 10_000)
 
 
 def datenum(name: str) -> Column:

@@ -38,12 +38,12 @@ def of_file(mooring: str, number: int, instrument: str, start_us: int, data: np.
     return out.astype({c: "float64" for c in _names(_FEATURES[2:])})
 
 
-def catalogue(files: DataFrame, mooring: str) -> DataFrame:
-    """(path, content) of one station's recordings to its catalogue."""
+def catalogue(files: DataFrame, mooring: str | None = None) -> DataFrame:
+    """The catalogue of a listing of recordings: of one station, or, without its name, of those that the files' folders name."""
 
     def work(path: str, header: dict, data: np.ndarray) -> pd.DataFrame:
-        start = int((header["timestamp"] - pd.Timestamp("1970-01-01")) / pd.Timedelta(microseconds=1))
-        return of_file(mooring, dat._number(path), header["instrument_id"], start, data, header["sample_rate"] or signal.FS)
+        start = int((header["timestamp"] - pd.Timestamp("1970-01-01", tz=header["timestamp"].tzinfo)) / pd.Timedelta(microseconds=1))
+        return of_file(mooring or path.rsplit("/", 2)[-2], dat._number(path), header["instrument_id"], start, data, header["sample_rate"] or signal.FS)
 
     return dat.per_file(files, work, CATALOGUE + _REFINED + _FEATURES)
 

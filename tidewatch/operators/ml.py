@@ -22,6 +22,18 @@ def standardise(df: DataFrame, names: list[str], by: list[str] = ()) -> DataFram
     return both.select(*[c for c in df.columns if c not in names], *[F.when(F.col(f"_s_{n}") > 0, (F.col(n) - F.col(f"_m_{n}")) / F.col(f"_s_{n}")).otherwise(0.0).alias(n) for n in names])
 
 
+def standardise_array(df: DataFrame, column: str) -> DataFrame:
+    """An array column's components less their mean over their population deviation; one without spread becomes 0. Rows with another number of components than most, a null or NaN go."""
+    d = df.withColumn("_x", F.col(column).cast("array<double>")).where(~F.exists("_x", lambda v: v.isNull() | F.isnan(v)))
+    n = d.groupBy(F.size("_x").alias("n")).count().agg(F.max_by("n", F.struct("count", "n"))).first()[0]
+    d = d.where(F.size("_x") == (n or 0))
+    # a row for each component, a single one in all
+    parts = d.select(F.posexplode("_x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    stats = parts.agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("_s"))
+    z = F.transform("_x", lambda v, i: F.when(F.get("_s", i)["s"] > 0, (v - F.get("_s", i)["m"]) / F.get("_s", i)["s"]).otherwise(0.0))
+    return d.join(F.broadcast(stats)).withColumn(column, z).drop("_x", "_s")
+
+
 def principal_components(df: DataFrame, column: str, k: int = 2) -> DataFrame:
     """With pc array<double>, from an array column. The stand-in for UMAP."""
     v = df.withColumn("_v", array_to_vector(F.col(column).cast("array<double>")))

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import association, density, detection, location, ml, recovery
 from ..shared import keep, shared_folder
+from ..sources import dat
+from ..sources.files import listing, written
 from ..sources.tables import catalogue, table
 from .registry import plan
 
 
-def _series(spark, sf):
-    """A minute and a half of sound for each station and day: noise, and a burst for each loud event at the second of its hour's end."""
+def _sounds(spark, sf):
+    """Recordings written as files: a minute and a half for each station and day, noise and a burst for each loud event at the second of its hour's end."""
     import numpy as np
     import pandas as pd
 
@@ -30,16 +33,18 @@ def _series(spark, sf):
                 for e in b:
                     at = 65_000 + int(e["onset_us"] // 1_000_000 % 80) * 1000
                     x[at : at + 1500] += e["snr"] / 4 * np.sin(2 * np.pi * (4 + e["duration_s"] / 3) * t) * np.exp(-2 * t)
-                yield pd.DataFrame({"mooring": [m], "file_number": [int(d)], "start_us": [int(d) * 86_400_000_000], "samples": [x]})
+                start = datetime(1970, 1, 1) + timedelta(days=int(d))
+                yield pd.DataFrame({"name": [f"{m}/{d:08d}.DAT"], "content": [dat.encode(start, x * 64, instrument_id=m.upper(), sample_rate=1000)]})
 
-    return per.mapInPandas(make, "mooring string, file_number int, start_us long, samples array<double>")
+    folder = f"{shared_folder(spark)}/sounds-{uuid.uuid4().hex}"
+    written(per.mapInPandas(make, "name string, content binary"), folder)
+    return listing(spark, folder, "*.DAT")
 
 
 @plan()
 def d1_to_d12_detection(spark, sf):
-    """Filters, ratios, triggers, onsets and features of synthetic files."""
-    c = detection.numbered(detection.of_series(_series(spark, sf)))
-    return c.select("event_id", "mooring", "file_number", "detection_band", "duration_s", "peak_freq_hz", "bandwidth_hz", "peak_db", "snr", "onset_shift_s", "onset_method", "onset_quality", "onset_grade", "spectral_centroid_hz")
+    """Filters, ratios, triggers, onsets and all features of files."""
+    return detection.numbered(detection.catalogue(_sounds(spark, sf)))
 
 
 @plan(f"SELECT m1, m2, max_us FROM ({geo.PAIR_WINDOWS_SQL}) WHERE m1 < m2")
@@ -90,8 +95,10 @@ def g7_to_g13_location(spark, sf):
 
 
 def _recovered(spark, sf, exclusive):
-    c = catalogue(spark, sf)
-    x = keep(_arrivals(spark, sf))
+    # events twenty times as dense as they are, so that stations share sources
+    c = keep(catalogue(spark, sf).withColumn("onset_us", F.expr("onset_us div 20")))
+    a = association.associate(c).select("assoc_id", F.explode(F.split("event_ids", ",").cast("array<long>")).alias("event_id"))
+    x = keep(a.join(c.select("event_id", "mooring", "onset_us"), "event_id").select("assoc_id", "mooring", "onset_us"))
     three = x.join(x.groupBy("assoc_id").count().where("count = 3"), "assoc_id", "left_semi")
     return recovery.recover(location.locate_associations(three), x, c, exclusive)
 
@@ -133,11 +140,11 @@ def g22_combo_correction(spark, sf):
 _ARR = "x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"
 
 
-@plan(f"{_ARR}, s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS d FROM x GROUP BY i) SELECT vec_id, CAST(x.i - 1 AS BIGINT) AS i, round((v - m) / d, 4) AS z FROM x JOIN s USING (i) WHERE x.i <= 4")
+@plan(f"{_ARR}, s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS d FROM x GROUP BY i) SELECT vec_id, CAST(x.i - 1 AS BIGINT) AS i, round((v - m) / d, 4) AS z FROM x JOIN s USING (i)")
 def m1_standardise(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].alias(f"f{i}") for i in range(4)])
-    z = ml.standardise(e, [f"f{i}" for i in range(4)])
-    return z.select("vec_id", F.posexplode(F.array(*[f"f{i}" for i in range(4)])).alias("i", "z")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("z", 4).alias("z"))
+    """All components."""
+    z = ml.standardise_array(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding")
+    return z.select("vec_id", F.posexplode("embedding").alias("i", "z")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("z", 4).alias("z"))
 
 
 @plan()

@@ -1,7 +1,7 @@
 """Hydrophone recordings: a 256-byte big-endian header and unsigned 16-bit big-endian samples around 32768.
 
-Files are read with Spark's binaryFile source, one row a file, so that any store the session reaches will do; a file of four hours is the smallest
-parallel unit, as causal filters carry state through it. Samples are decoded in the task that uses them and never become rows.
+Files are listed through the session's file system, and each is opened by the task that reads it: 256 bytes for a header, pieces of samples as Arrow
+arrays. A file of four hours is the smallest parallel unit of detection, as causal filters carry state through it.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..ship import ship
+from .files import decoded, listing, opened
 
 HEADER = 256
 ZERO = 32768.0
@@ -24,6 +25,7 @@ ZERO = 32768.0
 _TEXT = {"instrument_id": (0x40, 0x48), "project": (0x88, 0x98), "firmware": (0x98, 0xA5), "hardware_serial": (0xD9, 0xE3), "daq_serial": (0xE8, 0xF6)}
 _NUMBERS = {"sample_rate": (">I", 0xC4), "adc_bytes": (">B", 0xC9), "lowpass_hz": (">H", 0xCC), "active_seconds": (">I", 0xD0), "duty_cycle_seconds": (">I", 0xD4)}
 _TIME = (0x58, 0x78)
+_FIELDS = [*_TEXT, *_NUMBERS]
 HEADER_SCHEMA = "path string, file_number int, timestamp timestamp, " + ", ".join([*(f"{k} string" for k in _TEXT), *(f"{k} int" for k in _NUMBERS)])
 
 
@@ -62,36 +64,80 @@ def encode(start: datetime, data: np.ndarray, **fields: str | int) -> bytes:
     return bytes(head) + (np.clip(np.round(data + ZERO), 0, 65535)).astype(">u2").tobytes()
 
 
-def recordings(spark: SparkSession, path: str, glob: str = "*.DAT") -> DataFrame:
-    """(path, content) of the files below a folder."""
-    ship(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+#: Samples of a piece.
+PIECE = 1 << 20
+SAMPLE_SCHEMA = HEADER_SCHEMA + ", first_sample long, samples array<double>"
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "timestamp": pa.timestamp("us", "UTC"), "array<double>": pa.list_(pa.float64())}
+    return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))])
 
 
 def _number(path: str) -> int:
     return int(path.rsplit("/", 1)[-1].split(".")[0])
 
 
-def headers(spark: SparkSession, path: str, glob: str = "*.DAT", sort_by: str = "timestamp") -> DataFrame:
-    """A listing with header fields, by time or file number. Only the first bytes of each file leave the scan's task."""
-    heads = recordings(spark, path, glob).select("path", F.substring("content", 1, HEADER).alias("head"))
+def _header_row(path: str, head: bytes) -> tuple:
+    h = {"path": path, "file_number": _number(path)} | read_header(head)
+    return tuple(h[c.split()[0]] for c in HEADER_SCHEMA.split(", "))
+
+
+def header_batches(path: str, f: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+    """One row from a file's first bytes; none where they are too few."""
+    head = f.read(HEADER)
+    if len(head) == HEADER:
+        schema = _arrow(HEADER_SCHEMA)
+        yield pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip(_header_row(path, head), schema)], schema=schema)
+
+
+def sample_batches(path: str, f: pa.NativeFile, piece: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """A row for each piece of a file; none of a file without samples."""
+    head, at = f.read(HEADER), 0
+    if len(head) < HEADER:
+        return
+    schema = _arrow(SAMPLE_SCHEMA)
+    row = _header_row(path, head)
+    while content := f.read(2 * piece):
+        x = np.frombuffer(content[: len(content) // 2 * 2], dtype=">u2").astype(np.float64) - ZERO
+        if len(x):
+            values = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+            yield pa.RecordBatch.from_arrays([*[pa.array([v], k.type) for v, k in zip((*row, at), schema)], values], schema=schema)
+        at += len(x)
+
+
+def files(spark: SparkSession, path: str, glob: str = "*.DAT", only: Column | str | None = None) -> DataFrame:
+    """(path, length, modificationTime, file_number) of the recordings below a folder; those for which only doesn't hold are never opened."""
+    out = listing(spark, path, glob).withColumn("file_number", F.regexp_extract("path", r"([0-9]+)[^/]*$", 1).try_cast("int"))
+    return out if only is None else out.where(only)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([{"path": p, "file_number": _number(p)} | read_header(bytes(h)) for p, h in zip(f["path"], f["head"])], columns=[c.split()[0] for c in HEADER_SCHEMA.split(", ")])
 
-    return heads.mapInPandas(run, HEADER_SCHEMA).orderBy(sort_by, "path")
+def headers(spark: SparkSession, path: str, glob: str = "*.DAT", sort_by: str = "timestamp", only: Column | str | None = None) -> DataFrame:
+    """A listing with header fields, by time or file number. 256 bytes of each file are read."""
+    return decoded(files(spark, path, glob, only), header_batches, HEADER_SCHEMA).orderBy(sort_by, "path")
+
+
+def recordings(spark: SparkSession, path: str, glob: str = "*.DAT", piece: int = PIECE, only: Column | str | None = None) -> DataFrame:
+    """Header fields and samples (SAMPLE_SCHEMA), a row for each piece of a file."""
+    return decoded(files(spark, path, glob, only), lambda p, f: sample_batches(p, f, piece), SAMPLE_SCHEMA)
 
 
 def per_file(files: DataFrame, work: Callable[[str, dict, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """work(path, header, samples) on each file of (path, content)."""
+    """work(path, header, samples) on each file of a listing, whole in its task."""
+    kinds = None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for p, c in zip(f["path"], f["content"]):
-                yield work(p, read_header(bytes(c)), samples(bytes(c)))
+    def run(path: str, f: pa.NativeFile) -> Iterator[pa.RecordBatch]:
+        content = f.read()
+        if len(content) >= HEADER:
+            out = work(path, read_header(content), samples(content))
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, schema=kinds, preserve_index=False)
 
-    return files.mapInPandas(run, schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return decoded(files, run, schema)
 
 
 class _Part(InputPartition):
@@ -100,30 +146,38 @@ class _Part(InputPartition):
 
 
 class HydrophoneSource(DataSource):
-    """spark.read.format("hydrophone").load(folder): header fields and decoded samples, for folders that executors can open themselves."""
+    """spark.read.format("hydrophone").option("paths", "uri\\nuri").load(): SAMPLE_SCHEMA of listed files, in Arrow batches, a file a partition.
+
+    The paths come from a listing by the session, see load(), which also leaves files out: filters that a Python source takes over stay with its reader
+    in Spark 4.1, and would hold for later queries of the same table.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "hydrophone"
 
     def schema(self) -> str:
-        return HEADER_SCHEMA + ", samples array<double>"
+        return SAMPLE_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader([p for p in self.options["paths"].split("\n") if p])
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
 
     def partitions(self) -> list[InputPartition]:
-        from pathlib import Path
+        return [_Part(p) for p in self.paths] or [_Part("")]
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        if partition.path:
+            with opened(partition.path) as f:
+                yield from sample_batches(partition.path, f)
 
-        return [_Part(str(p)) for p in sorted(Path(self.path).rglob("*.DAT"))]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            content = f.read()
-        h = {"path": partition.path, "file_number": _number(partition.path)} | read_header(content)
-        yield (*[h[c.split()[0]] for c in HEADER_SCHEMA.split(", ")], samples(content).tolist())
+def load(spark: SparkSession, path: str, glob: str = "*.DAT", only: Column | str | None = None) -> DataFrame:
+    """The recordings below a folder through the data source. Paths are a line of text a file."""
+    spark.dataSource.register(HydrophoneSource)
+    paths = sorted(r.path for r in files(spark, path, glob, only).select("path").collect())
+    return spark.read.format("hydrophone").option("paths", "\n".join(paths)).load()
