@@ -48,6 +48,64 @@ def catalogue(files: DataFrame, mooring: str | None = None) -> DataFrame:
     return dat.per_file(files, work, CATALOGUE + _REFINED + _FEATURES)
 
 
+VARIANT = "mooring string, file_number int, detection_band string, on_samp long, variant string, " + ", ".join(f"{n} double" for n in [*(f"band_power_{i}" for i in range(6)), "peak_freq_hz", "peak_power_db", "bandwidth_hz", "duration_s", "rise_time_s", "decay_time_s", "spectral_slope", "freq_modulation", "spectral_centroid_hz"])
+
+
+def variants(files: DataFrame) -> DataFrame:
+    """Features of the low and the high band's own patches, of detections in the low band and in the others; none where a patch leaves its file."""
+
+    def work(path: str, header: dict, data: np.ndarray) -> pd.DataFrame:
+        fs, rows = header["sample_rate"] or signal.FS, []
+        for e in signal.detect_all(data, fs):
+            name, v = ("lowband", features.LOW) if e["detection_band"] == "low" else ("highband", features.HIGH)
+            if got := features.patch(data, e["on_samp"], v, fs):
+                rows.append({"mooring": path.rsplit("/", 2)[-2], "file_number": dat._number(path), "detection_band": e["detection_band"], "on_samp": e["on_samp"], "variant": name} | features.features(*got, v.pre_s, v.pre_s + (e["off_samp"] - e["on_samp"]) / fs, v.edges))
+        return pd.DataFrame(rows, columns=_names(VARIANT))
+
+    return dat.per_file(files, work, VARIANT)
+
+
+IMAGE = "mooring string, file_number int, detection_band string, on_samp long, height int, width int, image array<float>, low_db double, high_db double"
+
+
+def images(files: DataFrame) -> DataFrame:
+    """The classifier's picture of each detection, 64 frequencies by 128 frames in a row, and the limits of level that the pictures of a file share."""
+
+    def work(path: str, header: dict, data: np.ndarray) -> pd.DataFrame:
+        fs, rows, panels = header["sample_rate"] or signal.FS, [], []
+        for e in signal.detect_all(data, fs):
+            x = features.classifier_patch(data, e["on_samp"], fs)
+            got = features.patch(data, e["on_samp"], fs=fs)
+            if x is not None and got:
+                panels.append(got[2])
+                rows.append((path.rsplit("/", 2)[-2], dat._number(path), e["detection_band"], e["on_samp"], *x.shape, x.ravel()))
+        lo, hi = features.shared_limits(panels) if panels else (None, None)
+        return pd.DataFrame([(*r, lo, hi) for r in rows], columns=_names(IMAGE))
+
+    return dat.per_file(files, work, IMAGE)
+
+
+RESCUED = "mooring string, file_number int, cluster string, on_samp long, onset_quality double, onset_grade string, rescue_method string, rescue_shift_s double, rescue_quality double"
+
+
+def rescued(files: DataFrame, clusters: dict[str, str]) -> DataFrame:
+    """Detections of the bands that stand for a cluster of sources, with the onset that rescue finds in the cluster's filter and window."""
+
+    def work(path: str, header: dict, data: np.ndarray) -> pd.DataFrame:
+        fs, rows, ends = header["sample_rate"] or signal.FS, [], {}
+        for e in sorted(signal.detect_all(data, fs), key=lambda e: (e["detection_band"], e["on_samp"])):
+            _, _, quality = onsets.refine(data, e["on_samp"], e["detection_pass"], ends.get(e["detection_band"]), fs)
+            ends[e["detection_band"]] = e["off_samp"]
+            name = clusters.get(e["detection_band"])
+            window = name and onsets.cluster_window(data, e["on_samp"], name, fs)
+            if window:
+                g = onsets.grade(quality)
+                rows.append((path.rsplit("/", 2)[-2], dat._number(path), name, e["on_samp"], quality, g, *onsets.rescue(*window, quality, g, fs)))
+        return pd.DataFrame(rows, columns=_names(RESCUED)).astype({"rescue_shift_s": "float64"})
+
+    return dat.per_file(files, work, RESCUED)
+
+
 def of_series(series: DataFrame, fs: int = signal.FS) -> DataFrame:
     """(mooring, file_number, start_us, samples array<double>) to a catalogue."""
 

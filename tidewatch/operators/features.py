@@ -36,27 +36,64 @@ def patch(data: np.ndarray, onset: int, v: Variant = GENERAL, fs: int = FS) -> t
     return (f[keep], t, p[keep]) if keep.any() else None
 
 
+#: The level of a band without a frequency, and what keeps the logarithm of nothing finite.
+SILENT_DB, FLOOR = -200.0, 1e-20
+
+
+class Spectrum:
+    """The frames of a patch that lie in an event, or all frames where none does; what the measures below have in common."""
+
+    def __init__(self, freq: np.ndarray, times: np.ndarray, power: np.ndarray, onset_s: float, end_s: float) -> None:
+        at = np.flatnonzero((times >= onset_s) & (times <= end_s))
+        at = at if at.size else np.arange(times.size)
+        self.freq, self.times, self.power = freq, times[at], power[:, at]
+        self.onset_s, self.end_s = onset_s, end_s
+        self.level = decibels(self.power)
+        self.mean = self.power.mean(axis=1)
+
+
+def bands(s: Spectrum, edges: tuple[float, ...]) -> np.ndarray:
+    """The mean level of each band, its lower edge included."""
+    band = np.searchsorted(edges, s.freq, side="right")
+    n = np.bincount(band, minlength=len(edges) + 1)[1 : len(edges)]
+    total = np.bincount(band, s.level.mean(axis=1), minlength=len(edges) + 1)[1 : len(edges)]
+    return np.where(n > 0, total / np.maximum(n, 1), SILENT_DB)
+
+
+def rise_and_decay(s: Spectrum) -> tuple[float, float]:
+    """Seconds from the onset to the loudest frame, and from there to the end; half each where one frame can't tell."""
+    if s.times.size == 1:
+        return ((s.end_s - s.onset_s) / 2,) * 2
+    loudest = float(s.times[s.power.sum(axis=0).argmax()])
+    return loudest - s.onset_s, s.end_s - loudest
+
+
+def slope(s: Spectrum) -> float:
+    """Of the line through log power by log frequency, above 0 Hz; 0 for fewer than three frequencies or silence."""
+    x, y = np.log10(s.freq[s.freq > 0]), s.mean[s.freq > 0]
+    if x.size < 3 or not y.any():
+        return 0.0
+    x = x - x.mean()
+    return float(x @ np.log10(y + FLOOR) / (x @ x))
+
+
+def modulation(s: Spectrum) -> float:
+    """The spread of the frames' strongest frequencies; 0 for one or two frames."""
+    return float(s.freq[s.power.argmax(axis=0)].std()) if s.times.size > 2 else 0.0
+
+
+def centroid(s: Spectrum) -> float:
+    """The mean frequency, weighted by power; 0 for silence."""
+    return float(np.average(s.freq, weights=s.mean)) if s.mean.sum() > 0 else 0.0
+
+
 def features(f: np.ndarray, t: np.ndarray, p: np.ndarray, onset_s: float, end_s: float, edges: tuple[float, ...]) -> dict[str, float]:
-    """Band levels, spectral shape and timing of the frames within the event, or of all frames if there is none."""
-    inside = (t >= onset_s) & (t <= end_s)
-    if not inside.any():
-        inside = np.ones(len(t), dtype=bool)
-    own, level, times = p[:, inside], decibels(p[:, inside]), t[inside]
-    mean = own.mean(axis=1)
-    total, length = float(mean.sum()), end_s - onset_s
-    out = {}
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        band = (f >= lo) & (f < hi)
-        out[f"band_power_{i}"] = float(level[band].mean()) if band.any() else -200.0
-    peak = times[own.sum(axis=0).argmax()]
-    above = f > 0
-    slope = float(np.polyfit(np.log10(f[above]), np.log10(mean[above] + 1e-20), 1)[0]) if above.sum() > 2 and (mean[above] > 0).any() else 0.0
-    several = own.shape[1] > 1
-    return out | {
-        "peak_freq_hz": float(f[mean.argmax()]), "peak_power_db": float(level.max()), "bandwidth_hz": bandwidth(f, mean), "duration_s": length,
-        "rise_time_s": float(peak - onset_s) if several else length / 2, "decay_time_s": float(end_s - peak) if several else length / 2,
-        "spectral_slope": slope, "freq_modulation": float(f[own.argmax(axis=0)].std()) if own.shape[1] > 2 else 0.0,
-        "spectral_centroid_hz": float((f * mean).sum() / total) if total > 0 else 0.0,
+    """All measures of an event in its patch, by name."""
+    s = Spectrum(f, t, p, onset_s, end_s)
+    rise, decay = rise_and_decay(s)
+    return {f"band_power_{i}": float(v) for i, v in enumerate(bands(s, edges))} | {
+        "peak_freq_hz": float(f[s.mean.argmax()]), "peak_power_db": float(s.level.max()), "bandwidth_hz": bandwidth(f, s.mean), "duration_s": end_s - onset_s,
+        "rise_time_s": rise, "decay_time_s": decay, "spectral_slope": slope(s), "freq_modulation": modulation(s), "spectral_centroid_hz": centroid(s),
     }
 
 

@@ -47,6 +47,22 @@ def d1_to_d12_detection(spark, sf):
     return detection.numbered(detection.catalogue(_sounds(spark, sf)))
 
 
+@plan()
+def d8_to_d10_rescue(spark, sf):
+    """Envelope and kurtosis picks of detections whose onset is poor, in their cluster's filter."""
+    return detection.rescued(_sounds(spark, sf), {"low": "low_0", "mid": "mid_0"})
+
+
+@plan()
+def d13_d14_band_features(spark, sf):
+    return detection.variants(_sounds(spark, sf))
+
+
+@plan()
+def d15_d16_images(spark, sf):
+    return detection.images(_sounds(spark, sf))
+
+
 @plan(f"SELECT m1, m2, max_us FROM ({geo.PAIR_WINDOWS_SQL}) WHERE m1 < m2")
 def g1_travel_times(spark, sf):
     return geo.pair_windows(spark).where("m1 < m2")

@@ -106,11 +106,15 @@ def w9_sta_lta(spark, sf):
 @plan(f"""v AS (SELECT event_id, list(snr) OVER ({_W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS v FROM cat), m AS (SELECT *, list_avg(v) AS m FROM v WHERE len(v) = 50), d AS (SELECT event_id, list_transform(v, lambda x: x - m) AS d FROM m)
 SELECT event_id, round(list_avg(list_transform(d, lambda x: x * x * x * x)) / pow(list_avg(list_transform(d, lambda x: x * x)), 2) - 3, 3) + 0e0 AS kurtosis FROM d""")
 def w10_sliding_kurtosis(spark, sf):
-    """Excess kurtosis of the last 50 rows, about their own mean: raw moments would cancel."""
-    v = catalogue(spark, sf).select("event_id", F.collect_list("snr").over(_w().rowsBetween(-49, 0)).alias("v")).where(F.size("v") == 50)
-    d = v.select("event_id", F.expr("aggregate(v, 0D, (a, x) -> a + x) / 50").alias("m"), "v").select("event_id", F.expr("transform(v, x -> x - m)").alias("d"))
-    m2, m4 = (F.expr(f"aggregate(d, 0D, (a, x) -> a + {p}) / 50") for p in ("x * x", "x * x * x * x"))
-    return d.select("event_id", F.round(m4 / (m2 * m2) - 3, 3).alias("kurtosis"))
+    """Excess kurtosis of the last 50 rows, from sums of powers of the values less their station's mean, so that the sums don't cancel."""
+    means = catalogue(spark, sf).groupBy("mooring").agg(F.avg("snr").alias("c"))
+    d = catalogue(spark, sf).join(F.broadcast(means), "mooring").withColumn("d", F.col("snr") - F.col("c"))
+    w = _w().rowsBetween(-49, 0)
+    # sums of frames that slide are made anew for each row, so that no error is carried along
+    s = d.select("event_id", F.count("d").over(w).alias("n"), *[(F.sum(F.pow("d", F.lit(k))).over(w) / 50).alias(f"m{k}") for k in (1, 2, 3, 4)]).where("n = 50")
+    m, m2, m3, m4 = (F.col(f"m{k}") for k in (1, 2, 3, 4))
+    var = m2 - m * m
+    return s.select("event_id", F.round((m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m * m * m * m) / (var * var) - 3, 3).alias("kurtosis"))
 
 
 @plan(f"s AS (SELECT event_id, mooring, onset_us, avg(snr) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM cat) SELECT event_id, round(s, 6) AS smooth, round((lead(s) OVER ({_W}) - lag(s) OVER ({_W})) / 2, 6) AS gradient FROM s")
