@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import association, density, detection, location, ml, recovery
+from ..operators import association, density, detection, location, manifold, ml, recovery
 from ..shared import keep, shared_folder
 from ..sources import dat
 from ..sources.files import listing, written
@@ -168,6 +168,12 @@ def m2_principal_components(spark, sf):
     return ml.principal_components(table(spark, sf, "embeddings"), "embedding").select("vec_id", F.round(F.abs(F.col("pc")[0]), 4).alias("pc1"), F.round(F.abs(F.col("pc")[1]), 4).alias("pc2"))
 
 
+@plan()
+def m2_umap_layout(spark, sf):
+    """A layout in two dimensions of all vectors, by 15 neighbours."""
+    return manifold.umap(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
 @plan()
 def m3_clusters(spark, sf):
     return ml.cluster(table(spark, sf, "embeddings"), "embedding", 10, least=5).select("vec_id", "cluster")
