@@ -330,17 +330,29 @@ def test_op9(spark, docs, none):
     assert decontam.clean(docs, items.limit(0)).count() == docs.count()
 
 
-#: The bar stands; sf0.01 has 41 labelled toxic documents to learn four languages from, and 8 of its 10 held-out ones are found. test_more.py holds the bar at sf0.1.
-@pytest.mark.xfail(reason="8 of 10: too few labels at sf0.01", strict=False)
-def test_op10_held_out(spark, none):
+def _held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     test = F.pmod(F.xxhash64("doc_id", F.lit("test")), F.lit(3)) == 0
     found = {r.doc_id for r in toxicity.toxic_documents(docs, labels.where(~test)).collect()}
     own = {r.doc_id: r.toxic for r in labels.where(test & F.col("toxic").isNotNull()).join(docs.select("doc_id"), "doc_id").collect()}
+    return own, found
+
+
+#: The bar stands; sf0.01 has 41 labelled toxic documents to learn four languages from, and 8 of its 10 held-out ones are found. test_more.py holds the bar at sf0.1.
+@pytest.mark.xfail(reason="8 of 10: too few labels at sf0.01", strict=False)
+def test_op10_held_out(spark):
+    own, found = _held_out(spark)
     toxic = {i for i, y in own.items() if y == 1}
     assert toxic and len(toxic & found) >= 0.9 * len(toxic)
+
+
+def test_op10_leaves_others_alone(spark, none):
+    own, found = _held_out(spark)
+    toxic = {i for i, y in own.items() if y == 1}
+    assert len(toxic & found) >= 0.8 * len(toxic)
     assert len({i for i in own if i in found} - toxic) <= 0.02 * len(own)
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     assert toxicity.toxic_documents(none, labels).count() == 0
     assert toxicity.toxic_documents(docs, labels.limit(0)).count() == 0
 

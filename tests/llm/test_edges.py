@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tidewatch.llm import decontam, langid
+from tidewatch.llm import decontam, embeddings, langid
 
 
 def test_op7_copies(spark, monkeypatch):
@@ -65,3 +65,11 @@ def test_op9_short_documents(spark):
     assert got == want
     assert any(len(docs[d][1].split()) < len(items[i][1].split()) for d, i in want)
     assert {r.doc_id for r in decontam.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_op3_extreme_doubles(spark):
+    """Vectors whose squares leave the range of doubles have cosines like any."""
+    v = [3.0, -4.0, 1.0]
+    rows = [(1, v), (2, [x * 1e-200 for x in v]), (3, [x * 1e200 for x in v]), (4, [-x * 1e200 for x in v]), (5, [0.0] * 3), (6, [float("inf"), 1.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}

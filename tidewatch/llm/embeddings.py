@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..ship import ship
 from .common import arrow_rows, keep
 from .graph import components
 
@@ -153,6 +154,7 @@ def near_copies(vectors: DataFrame, least: float = LEAST, sample: int = SAMPLE,
     Two vectors link at a cosine of at least `least`. Vectors that are null, empty, all zero or hold a null or a value that isn't finite, and rows
     without an id, link with nothing; so do vectors of different lengths. Repeated rows are vectors of their own. kept: the id is its component's.
     """
+    ship(vectors.sparkSession)
     double = isinstance(t := vectors.schema["embedding"].dataType, ArrayType) and isinstance(t.elementType, DoubleType)
     kind, element = ("<f8", "double") if double else ("<f4", "float")
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("embedding"))
@@ -162,7 +164,10 @@ def near_copies(vectors: DataFrame, least: float = LEAST, sample: int = SAMPLE,
             out = []
             for i, x in arrow_rows([b], "vec_id", "embedding"):
                 v = None if i is None or not x or any(c is None for c in x) else np.array(x, dtype=kind)
-                ok = v is not None and np.isfinite(v).all() and np.isfinite(s := (v.astype(np.float64) ** 2).sum()) and s > 0
+                ok = v is not None and np.isfinite(v).all() and v.any()
+                if ok and not 1e-100 < (v.astype(np.float64) ** 2).sum() < 1e100:
+                    # squares would leave the range of doubles: a power of two changes no cosine
+                    v = np.ldexp(v, -np.frexp(np.abs(v).max())[1])
                 out.append(v.tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["vec_id", "v"])
 

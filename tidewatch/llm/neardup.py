@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import U64, arrow_rows, in_chunks, keep, mix, shingle_hashes, word_hashes
 from .graph import components, lowest, relabel
 
@@ -454,6 +455,7 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     and links with nothing. Rows without an id are left out. Repeated rows of an id count once; where their texts differ, each text
     counts, and n_shingles is the largest. Other columns are not read. An empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     met = keep(route(docs, k, num, den))
     sets = met.where(F.col("kind") == _SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "c", "d")
@@ -532,11 +534,11 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     if repeated.isEmpty():
         gone = link_components(docs, k, num, den).where("doc_id != component_id").select("doc_id")
         return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
-    # a row's own number stands for its id, and the smallest id of a group tells which of its rows stays
-    own, mark = F.xxhash64("doc_id", "text"), "row"
+    # a row's own number, kept, stands for its id, and the smallest id of a group tells which of its rows stays
+    mark = "row"
     while mark in {c.lower() for c in docs.columns}:
         mark += "_"
-    named = docs.where("doc_id IS NOT NULL").withColumn(mark, own).dropDuplicates([mark])
+    named = keep(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).withColumn(mark, F.monotonically_increasing_id()))
     found = link_components(named.select(F.col(mark).alias("doc_id"), "text"), k, num, den).select(F.col("doc_id").alias(mark), "component_id")
     ids = named.select(mark, "doc_id").join(found, mark)
     kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", mark)).alias("one")).select(F.col(f"one.{mark}").alias(mark))

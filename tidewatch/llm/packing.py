@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import keep
 from .tokens import BYTE_BPE, encoded, resolve
 
@@ -27,6 +28,7 @@ GROUPS = 128
 
 def pieces(docs: DataFrame, vocabulary: str = BYTE_BPE, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, text) to a row per piece. A null text counts as empty and is the end id alone; a repeated row is a document of its own."""
+    ship(docs.sparkSession)
     path = resolve(vocabulary)
 
     def run(batches):
@@ -156,6 +158,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     its place in its group after all earlier groups, so that a common length is ranked in GROUPS parts; full pieces
     are sequences of their own and need no rank. Repeated rows differ in nothing, so that they may swap places in a rerun.
     """
+    ship(cut.sparkSession)
     cut = keep(cut)
     tagged = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(GROUPS)).cast("int"))
     items = tagged.where(F.col("length") < capacity)

@@ -11,42 +11,52 @@ from .common import shared_folder, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share nine tenths of their shingles of three words; null texts have none and link with nothing, rows without an id are left out, repeated rows of an id count once, an empty table gives no rows."""
     return neardup.link_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 200 bytes that start elsewhere too; null texts are empty, repeated rows are documents of their own, an empty table gives no rows."""
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors by cosine; null, zero and non-finite vectors and rows without an id link with nothing, repeated rows are vectors of their own, an empty table gives no rows."""
     return embeddings.near_copies(table(spark, sf_dir, "embeddings"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens; a null text is its end token alone, repeated rows are packed each, equal plans go by the pieces' order, an empty table gives no rows."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place, length and checksum as read back from the files; a null text is its end token alone, repeated rows are written each, an empty table gives no rows."""
     return wavelet.encode_documents(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text; a null text has none, every row gives a row, of overlapping finds of a kind the leftmost counts, an empty table gives no rows."""
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text; null texts and those without a letter are `und` with score 0, repeated rows get equal answers, of equally short codes the first language by name counts, an empty table gives no rows."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the best segmentation of every text; a null text has none, ties go by the tokenizer's rule, every row gives a row, an empty table gives no rows."""
     return unigram.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark, and how similar; null texts and items have none, repeated rows of an item count once, an empty table on either side gives no rows."""
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic documents by the chain learned from the labels; null texts are never toxic, documents without a label are scored like any, no labels or an empty table give no rows."""
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
