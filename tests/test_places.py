@@ -80,8 +80,8 @@ def test_bias(spark, monkeypatch):
         w = [1 / (float(geo.inverse(y, x, g[0], g[1])[0]) / 1000 + 20) ** 2 for g in gt]
         dy, dx = (sum(v * g[k] for v, g in zip(w, gt)) / sum(w) for k in (2, 3))
         r = got[a]
-        assert (r.lat_corrected, r.lon_corrected, r.correction_dlat) == pytest.approx((y - dy, x - dx, -dy))
-        assert r.correction_km == pytest.approx(math.hypot(dy * 111, dx * 111 * math.cos(math.radians(y))))
+        assert (r.lat_corrected, r.lon_corrected, r.correction_dlat) == pytest.approx((y - dy, x - dx, -dy), abs=1e-7)
+        assert r.correction_km == pytest.approx(math.hypot(dy * 111, dx * 111 * math.cos(math.radians(y))), abs=1e-4)
     assert got["null"].lat_corrected is None and len(got) == 41
 
 

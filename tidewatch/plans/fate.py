@@ -137,9 +137,9 @@ def g24_source_level(spark, sf):
     return catalogue(spark, sf).select("event_id", F.round(text.source_level(F.col("snr"), km), 5).alias("level"))
 
 
-@plan("SELECT file_number, CASE min(CASE band WHEN 'low' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END) WHEN 0 THEN 'tphase' WHEN 1 THEN 'icequake' ELSE 'vessel' END AS event_class FROM cat WHERE snr > 100 GROUP BY file_number")
+@plan("SELECT file_number, CASE min(CASE band WHEN 'low' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END) WHEN 0 THEN 'tphase' WHEN 1 THEN 'icequake' ELSE 'vessel' END AS event_class FROM cat GROUP BY file_number")
 def g15_association_class(spark, sf):
-    c = catalogue(spark, sf).where("snr > 100").withColumn("label", rules.recode(F.col("band"), {"low": "tphase", "mid": "icequake", "high": "vessel"}))
+    c = catalogue(spark, sf).withColumn("label", rules.recode(F.col("band"), {"low": "tphase", "mid": "icequake", "high": "vessel"}))
     return c.groupBy("file_number").agg(rules.first_class(F.col("label")).alias("event_class"))
 
 

@@ -145,14 +145,15 @@ def u2_id_sets(spark, sf):
     return out
 
 
-_SETS_SQL = "s AS (SELECT file_number, list(DISTINCT mooring) AS m FROM cat WHERE snr > 80 GROUP BY file_number)"
+_SETS_SQL = "s AS (SELECT onset_us // 600000000 AS part, list(DISTINCT mooring) AS m FROM cat GROUP BY onset_us // 600000000)"
 
 
-@plan(f"""{_SETS_SQL} SELECT a.file_number, round(len(list_intersect(a.m, b.m)) / len(list_distinct(list_concat(a.m, b.m))), 6) AS jaccard FROM s a JOIN s b ON b.file_number = a.file_number + 1""")
+@plan(f"""{_SETS_SQL} SELECT a.part, round(len(list_intersect(a.m, b.m)) / len(list_distinct(list_concat(a.m, b.m))), 6) AS jaccard FROM s a JOIN s b ON b.part = a.part + 1""")
 def u3_set_jaccard(spark, sf):
-    s = catalogue(spark, sf).where("snr > 80").groupBy("file_number").agg(F.collect_set("mooring").alias("m"))
-    b = s.select((F.col("file_number") - 1).alias("file_number"), F.col("m").alias("other"))
-    return s.join(b, "file_number").select("file_number", F.round(rules.jaccard("m", "other"), 6).alias("jaccard"))
+    """Stations heard in ten minutes and in the next ten."""
+    s = catalogue(spark, sf).groupBy(F.floor(F.col("onset_us") / 600_000_000).alias("part")).agg(F.collect_set("mooring").alias("m"))
+    b = s.select((F.col("part") - 1).alias("part"), F.col("m").alias("other"))
+    return s.join(b, "part").select("part", F.round(rules.jaccard("m", "other"), 6).alias("jaccard"))
 
 
 @plan("a AS (SELECT *, 1 AS batch FROM cat WHERE event_id % 2 = 0 UNION ALL SELECT *, 2 FROM cat WHERE event_id % 3 = 0) SELECT event_id, max(batch) AS batch FROM a GROUP BY event_id")

@@ -25,10 +25,10 @@ def j2_equi_left_suffix(spark, sf):
     return c.where("band = 'low'").select("event_id", "snr").join(c.where("duration_s > 50").select("event_id", F.col("snr").alias("snr_feat")), "event_id", "left")
 
 
-@plan("SELECT a.event_id, a.mooring, a.band, b.n FROM cat a JOIN (SELECT mooring, band, count(*) AS n FROM cat GROUP BY ALL) b ON a.mooring = b.mooring AND a.band = b.band WHERE a.snr > 150")
+@plan("SELECT a.event_id, a.mooring, a.band, b.n FROM cat a JOIN (SELECT mooring, band, count(*) AS n FROM cat GROUP BY ALL) b ON a.mooring = b.mooring AND a.band = b.band")
 def j3_composite_key(spark, sf):
     c = catalogue(spark, sf)
-    return c.where("snr > 150").select("event_id", "mooring", "band").join(c.groupBy("mooring", "band").agg(F.count("*").alias("n")), ["mooring", "band"])
+    return c.select("event_id", "mooring", "band").join(c.groupBy("mooring", "band").agg(F.count("*").alias("n")), ["mooring", "band"])
 
 
 @plan("SELECT p.event_id, coalesce(s.label, p.label) AS label FROM (SELECT event_id, 'parent_' || band AS label FROM cat) p LEFT JOIN (SELECT event_id, 'sub_' || mooring AS label FROM cat WHERE snr > 60) s USING (event_id)")
@@ -44,12 +44,12 @@ def j5_lookup(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(n, "c_nationkey").join(table(spark, sf, "region"), "r_regionkey").select("c_custkey", "n_name", "r_name")
 
 
-@plan("""a AS (SELECT mooring, file_number, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS event_ids FROM cat WHERE snr > 100 GROUP BY ALL),
+@plan("""a AS (SELECT mooring, file_number, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS event_ids FROM cat GROUP BY ALL),
 x AS (SELECT mooring, file_number, CAST(unnest(string_split(event_ids, ',')) AS BIGINT) AS event_id FROM a)
 SELECT x.mooring, x.file_number, count(*) AS n, round(max(cat.snr), 6) AS best FROM x JOIN cat USING (event_id) GROUP BY ALL""")
 def j6_exploded_list(spark, sf):
     c = catalogue(spark, sf)
-    a = c.where("snr > 100").groupBy("mooring", "file_number").agg(F.array_join(F.array_sort(F.collect_list(F.col("event_id").cast("string"))), ",").alias("event_ids"))
+    a = c.groupBy("mooring", "file_number").agg(F.array_join(F.array_sort(F.collect_list(F.col("event_id").cast("string"))), ",").alias("event_ids"))
     x = a.select("mooring", "file_number", F.explode(F.split("event_ids", ",").cast("array<long>")).alias("event_id"))
     return x.join(c.select("event_id", "snr"), "event_id").groupBy("mooring", "file_number").agg(F.count("*").alias("n"), F.round(F.max("snr"), 6).alias("best"))
 
@@ -121,13 +121,13 @@ def j12_pair_window(spark, sf):
     return pairs.join(F.broadcast(geo.pair_windows(spark)), ["m1", "m2"]).where("onset_us - a_us <= max_us AND anchor <> event_id").select("anchor", "event_id", (F.col("onset_us") - F.col("a_us")).alias("dt_us"))
 
 
-@plan(_REF_SQL + """, w AS (SELECT min(onset_us) - 60000000 AS lo, max(end_us) + 60000000 AS hi FROM det WHERE snr > 120 GROUP BY mooring, onset_us // 3600000000)
+@plan(_REF_SQL + """, w AS (SELECT min(onset_us) - 60000000 AS lo, max(end_us) + 60000000 AS hi FROM det GROUP BY mooring, onset_us // 3600000000)
 SELECT ref_id FROM ref WHERE EXISTS (SELECT 1 FROM w WHERE ref_us BETWEEN lo AND hi)""")
 def j13_containment(spark, sf):
     """Points in any coverage window. Merged windows are disjoint, so a point meets the last that begins before it."""
     c = catalogue(spark, sf)
     ref, _ = _reference(c)
-    w = c.where("event_type <> 'error' AND snr > 120").groupBy("mooring", F.floor(F.col("onset_us") / (3600 * S)).alias("h")).agg((F.min("onset_us") - 60 * S).alias("lo"), (F.max("end_us") + 60 * S).alias("hi"))
+    w = c.where("event_type <> 'error'").groupBy("mooring", F.floor(F.col("onset_us") / (3600 * S)).alias("h")).agg((F.min("onset_us") - 60 * S).alias("lo"), (F.max("end_us") + 60 * S).alias("hi"))
     # windows go to each hour that they touch; hours are dealt out, so that neither side has to fit in one task
     w = w.select("lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / (3600 * S)), F.floor(F.col("hi") / (3600 * S)))).alias("part"))
     hit = ref.withColumn("part", F.floor(F.col("ref_us") / (3600 * S))).alias("r").join(w.alias("w"), (F.col("r.part") == F.col("w.part")) & F.col("ref_us").between(F.col("lo"), F.col("hi")), "left_semi")
@@ -154,28 +154,28 @@ def j15_same_key_neighbours(spark, sf):
     return catalogue(spark, sf).select("event_id", (F.count("*").over(w) - 1).alias("n"))
 
 
-_IDW_SQL = "k AS (SELECT n_nationkey AS k, n_nationkey * 4.0 AS x, n_regionkey * 10.0 AS v FROM nation), w AS (SELECT event_id, 1 / ((abs(snr - x) + 20) * (abs(snr - x) + 20)) AS w, v FROM cat CROSS JOIN k WHERE snr > 100)"
+_IDW_SQL = "k AS (SELECT n_nationkey AS k, n_nationkey * 4.0 AS x, n_regionkey * 10.0 AS v FROM nation), w AS (SELECT event_id, 1 / ((abs(snr - x) + 20) * (abs(snr - x) + 20)) AS w, v FROM cat CROSS JOIN k)"
 
 
 @plan(f"{_IDW_SQL} SELECT event_id, round(sum(w * v) / sum(w), 6) AS bias FROM w GROUP BY event_id")
 def j16_calibration_points(spark, sf):
     """Events by calibration points: a fixed table of 25 stations, carried in each row, as weights and their sum need no join."""
     points = F.broadcast(table(spark, sf, "nation").agg(F.collect_list(F.struct((F.col("n_nationkey") * 4.0).alias("x"), (F.col("n_regionkey") * 10.0).alias("v"))).alias("k")))
-    c = catalogue(spark, sf).where("snr > 100").select("event_id", "snr").join(points)
+    c = catalogue(spark, sf).select("event_id", "snr").join(points)
     w = F.transform("k", lambda p: F.struct((1 / F.pow(F.abs(F.col("snr") - p["x"]) + 20, 2)).alias("w"), p["v"].alias("v")))
     sums = c.select("event_id", w.alias("w")).select("event_id", F.aggregate("w", F.lit(0.0), lambda a, p: a + p["w"] * p["v"]).alias("num"), F.aggregate("w", F.lit(0.0), lambda a, p: a + p["w"]).alias("den"))
     return sums.select("event_id", F.round(F.col("num") / F.col("den"), 6).alias("bias"))
 
 
-_COMBO_SQL = "a AS (SELECT file_number, list_sort(list(DISTINCT mooring)) AS m FROM cat WHERE snr > 100 GROUP BY file_number), combos AS (SELECT DISTINCT m FROM a), gt AS (SELECT DISTINCT m FROM a WHERE file_number % 17 = 0)"
+_COMBO_SQL = "a AS (SELECT onset_us // 60000000 AS minute, list_sort(list(DISTINCT mooring)) AS m FROM cat GROUP BY onset_us // 60000000), combos AS (SELECT DISTINCT m FROM a), gt AS (SELECT DISTINCT m FROM a WHERE minute % 17 = 0)"
 
 
 @plan(f"""{_COMBO_SQL}, s AS (SELECT c.m AS m, g.m AS g, len(list_intersect(c.m, g.m)) / len(list_distinct(list_concat(c.m, g.m))) AS sim FROM combos c CROSS JOIN gt g)
 SELECT array_to_string(m, ',') AS combo, array_to_string(g, ',') AS best, round(sim, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY m ORDER BY sim DESC, array_to_string(g, ',')) = 1""")
 def j17_most_similar(spark, sf):
-    """Station combinations, at most 63 of six stations, by their most similar one with ground truth."""
-    a = catalogue(spark, sf).where("snr > 100").groupBy("file_number").agg(F.array_sort(F.collect_set("mooring")).alias("m"))
-    combos, gt = a.select("m").distinct(), a.where("file_number % 17 = 0").select(F.col("m").alias("g")).distinct()
+    """Combinations of stations that hear something in a minute, at most 63 of six stations, by their most similar one with ground truth."""
+    a = catalogue(spark, sf).groupBy(F.floor(F.col("onset_us") / 60_000_000).alias("minute")).agg(F.array_sort(F.collect_set("mooring")).alias("m"))
+    combos, gt = a.select("m").distinct(), a.where("minute % 17 = 0").select(F.col("m").alias("g")).distinct()
     # combinations meet where they share a station; two without one have similarity 0 to each other
     hit = combos.withColumn("k", F.explode("m")).join(gt.withColumn("k", F.explode("g")), "k").select("m", "g").distinct()
     sim = hit.select(F.array_join("m", ",").alias("combo"), F.array_join("g", ",").alias("best"), (F.size(F.array_intersect("m", "g")) / F.size(F.array_union("m", "g"))).alias("s"))
@@ -191,10 +191,10 @@ def j18_station_pairs(spark, sf):
 
 
 @plan("""g AS (SELECT n_nationkey AS cell, CAST(n_nationkey % 5 AS DOUBLE) * 25 AS y, CAST(n_nationkey // 5 AS DOUBLE) * 60 AS x FROM nation)
-SELECT event_id, cell FROM cat CROSS JOIN g WHERE snr > 120 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY (snr - x) * (snr - x) + (duration_s - y) * (duration_s - y), cell) = 1""")
+SELECT event_id, cell FROM cat CROSS JOIN g QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY (snr - x) * (snr - x) + (duration_s - y) * (duration_s - y), cell) = 1""")
 def j19_nearest_cell(spark, sf):
     """The nearest cell of a fixed grid by squared degrees, from an array that each row carries."""
     cells = table(spark, sf, "nation").select(F.col("n_nationkey").alias("cell"), ((F.col("n_nationkey") % 5).cast("double") * 25).alias("y"), (F.floor(F.col("n_nationkey") / 5).cast("double") * 60).alias("x"))
     grid = F.broadcast(cells.agg(F.array_sort(F.collect_list(F.struct("cell", "x", "y"))).alias("g")))
     d2 = F.transform("g", lambda p: F.struct(((F.col("snr") - p["x"]) * (F.col("snr") - p["x"]) + (F.col("duration_s") - p["y"]) * (F.col("duration_s") - p["y"])).alias("d"), p["cell"].alias("cell")))
-    return catalogue(spark, sf).where("snr > 120").select("event_id", "snr", "duration_s").join(grid).select("event_id", F.array_min(d2)["cell"].alias("cell"))
+    return catalogue(spark, sf).select("event_id", "snr", "duration_s").join(grid).select("event_id", F.array_min(d2)["cell"].alias("cell"))

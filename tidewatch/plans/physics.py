@@ -63,9 +63,12 @@ def d15_d16_images(spark, sf):
     return detection.images(_sounds(spark, sf))
 
 
-@plan(f"SELECT m1, m2, max_us FROM ({geo.PAIR_WINDOWS_SQL}) WHERE m1 < m2")
+@plan(f"h AS (SELECT mooring, count(*) AS n FROM cat GROUP BY mooring) SELECT m1, m2, max_us, a.n AS n1, b.n AS n2 FROM ({geo.PAIR_WINDOWS_SQL}) JOIN h a ON a.mooring = m1 JOIN h b ON b.mooring = m2 WHERE m1 < m2")
 def g1_travel_times(spark, sf):
-    return geo.pair_windows(spark).where("m1 < m2")
+    """The windows of the pairs of stations that the catalogue has, and how much each has heard."""
+    heard = catalogue(spark, sf).groupBy("mooring").agg(F.count("*").alias("n"))
+    one, other = (heard.select(F.col("mooring").alias(f"m{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
+    return geo.pair_windows(spark).where("m1 < m2").join(one, "m1").join(other, "m2").select("m1", "m2", "max_us", "n1", "n2")
 
 
 @plan("SELECT m.mooring AS m1, o.mooring AS m2, 120000000 AS max_us FROM (SELECT DISTINCT mooring FROM cat) m JOIN (SELECT DISTINCT mooring FROM cat) o ON m.mooring < o.mooring")

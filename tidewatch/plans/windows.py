@@ -40,20 +40,20 @@ def w3_bouts(spark, sf):
     return r.groupBy("mooring", "run").agg(F.min("onset_us").alias("begin_us"), F.max("onset_us").alias("end_us"), F.count("*").alias("n")).where("n >= 3").drop("run")
 
 
-_MERGE = """w AS (SELECT {p} onset_us AS lo, end_us AS hi FROM cat WHERE snr > 20), t AS (SELECT *, max(hi) OVER ({q} ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM w),
+_MERGE = """w AS (SELECT {p} onset_us AS lo, end_us AS hi FROM cat), t AS (SELECT *, max(hi) OVER ({q} ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM w),
 r AS (SELECT *, sum(CASE WHEN top IS NULL OR lo > top THEN 1 ELSE 0 END) OVER ({q} ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM t)
 SELECT {p} min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM r GROUP BY {p} run"""
 
 
 @plan(_MERGE.format(p="file_number,", q="PARTITION BY file_number"))
 def w4_merge_intervals(spark, sf):
-    w = catalogue(spark, sf).where("snr > 20").select("file_number", F.col("onset_us").alias("lo"), F.col("end_us").alias("hi"))
+    w = catalogue(spark, sf).select("file_number", F.col("onset_us").alias("lo"), F.col("end_us").alias("hi"))
     return rel.merge_intervals(w, "lo", "hi", ["file_number"])
 
 
 @plan(_MERGE.format(p="mooring,", q="PARTITION BY mooring"))
 def w5_merge_intervals_by_station(spark, sf):
-    w = catalogue(spark, sf).where("snr > 20").select("mooring", F.col("onset_us").alias("lo"), F.col("end_us").alias("hi"))
+    w = catalogue(spark, sf).select("mooring", F.col("onset_us").alias("lo"), F.col("end_us").alias("hi"))
     return rel.merge_intervals(w, "lo", "hi", ["mooring"])
 
 

@@ -141,12 +141,12 @@ def per_file(files: DataFrame, work: Callable[[str, dict, np.ndarray], pd.DataFr
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
 
 
 class HydrophoneSource(DataSource):
-    """spark.read.format("hydrophone").option("paths", "uri\\nuri").load(): SAMPLE_SCHEMA of listed files, in Arrow batches, a file a partition.
+    """spark.read.format("hydrophone").option("paths", "uri\\nuri").load(): SAMPLE_SCHEMA of listed files, in Arrow batches, the files dealt over `parts` partitions.
 
     The paths come from a listing by the session, see load(), which also leaves files out: filters that a Python source takes over stay with its reader
     in Spark 4.1, and would hold for later queries of the same table.
@@ -160,24 +160,24 @@ class HydrophoneSource(DataSource):
         return SAMPLE_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader([p for p in self.options["paths"].split("\n") if p])
+        return _Reader([p for p in self.options["paths"].split("\n") if p], int(self.options.get("parts", "1")))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+    def __init__(self, paths: list[str], parts: int) -> None:
+        self.paths, self.parts = paths, max(1, min(parts, len(paths)))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(p) for p in self.paths] or [_Part("")]
+        return [_Part(self.paths[i :: self.parts]) for i in range(self.parts)]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        if partition.path:
-            with opened(partition.path) as f:
-                yield from sample_batches(partition.path, f)
+        for path in partition.paths:
+            with opened(path) as f:
+                yield from sample_batches(path, f)
 
 
 def load(spark: SparkSession, path: str, glob: str = "*.DAT", only: Column | str | None = None) -> DataFrame:
-    """The recordings below a folder through the data source. Paths are a line of text a file."""
+    """The recordings below a folder through the data source, in four partitions a core at most. Paths are a line of text a file."""
     spark.dataSource.register(HydrophoneSource)
     paths = sorted(r.path for r in files(spark, path, glob, only).select("path").collect())
-    return spark.read.format("hydrophone").option("paths", "\n".join(paths)).load()
+    return spark.read.format("hydrophone").option("paths", "\n".join(paths)).option("parts", str(4 * spark.sparkContext.defaultParallelism)).load()
