@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import rel
+from ..operators import rel, scans
 from ..sources.tables import catalogue
 from .registry import plan
 
@@ -24,7 +24,7 @@ f AS (SELECT ref.ref_id, CASE WHEN a.accepted THEN 'accepted' WHEN n.ref_id IS N
 def coverage(c, pad_us: int):
     """Padded recording windows of all stations and files, merged. Windows are few next to events: one for each file."""
     w = c.groupBy("mooring", "file_number").agg((F.min("onset_us") - pad_us).alias("lo"), (F.max("end_us") + pad_us).alias("hi"))
-    return rel.merge_intervals(w.select("lo", "hi", F.lit(0).alias("all")), "lo", "hi", ["all"]).select("lo", "hi")
+    return scans.merge_intervals(w.select("lo", "hi"), "lo", "hi").select("lo", "hi")
 
 
 def covered(points, windows, t: str):
@@ -119,8 +119,7 @@ a AS (SELECT mooring, swarm, any_value(md) AS md, greatest(median(abs(dist - md)
 SELECT event_id, swarm, round(dist, 6) AS dist, dist > md + 3 * mad AS outlier FROM d JOIN a USING (mooring, swarm)""")
 def g17_swarm_coherence(spark, sf):
     """Sessions of ten events or more: distance to the medians, and outliers by the median absolute deviation. Numbers are given before small sessions go."""
-    order = [F.col("onset_us"), F.col("event_id")]
-    s = rel.islands(catalogue(spark, sf), ["mooring"], order, rel.gap("onset_us", ["mooring"], order) > 3600 * S, "swarm")
+    s = scans.islands(catalogue(spark, sf), ["mooring"], ["onset_us", "event_id"], F.col("onset_us") - F.col("prev.onset_us") > 3600 * S, "swarm")
     key = ["mooring", "swarm"]
     k = s.groupBy(*key).agg(F.median("snr").alias("mx"), F.median("duration_s").alias("my"), F.count("*").alias("n")).where("n >= 10")
     d = s.join(k, key).withColumn("dist", F.expr("sqrt((snr - mx) * (snr - mx) + (duration_s - my) * (duration_s - my))"))

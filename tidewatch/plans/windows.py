@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import rel
+from ..operators import scans
 from ..sources.tables import catalogue
 from .registry import plan
 
 _W = "PARTITION BY mooring ORDER BY onset_us, event_id"
+_ORDER = ["onset_us", "event_id"]
 
 
 def _w():
@@ -18,15 +19,14 @@ def _w():
 
 @plan(f"SELECT event_id, onset_us - lag(onset_us) OVER ({_W}) AS dt_us FROM cat")
 def w1_lag_difference(spark, sf):
-    return catalogue(spark, sf).select("event_id", (F.col("onset_us") - F.lag("onset_us").over(_w())).alias("dt_us"))
+    c = scans.Scan(catalogue(spark, sf), ["mooring"], _ORDER).previous("prev", "onset_us").rows()
+    return c.select("event_id", (F.col("onset_us") - F.col("prev.onset_us")).alias("dt_us"))
 
 
 @plan(f"""g AS (SELECT *, CASE WHEN onset_us - lag(onset_us) OVER ({_W}) > 3600000000 THEN 1 ELSE 0 END AS brk FROM cat)
 SELECT event_id, sum(brk) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS session FROM g""")
 def w2_gap_sessions(spark, sf):
-    order = [F.col("onset_us"), F.col("event_id")]
-    c = catalogue(spark, sf)
-    return rel.islands(c, ["mooring"], order, rel.gap("onset_us", ["mooring"], order) > 3_600_000_000, "session").select("event_id", "session")
+    return scans.islands(catalogue(spark, sf), ["mooring"], _ORDER, F.col("onset_us") - F.col("prev.onset_us") > 3_600_000_000, "session").select("event_id", "session")
 
 
 @plan(f"""d AS (SELECT *, (onset_us - lag(onset_us) OVER ({_W})) / 1e6 AS gap FROM cat), f AS (SELECT *, CASE WHEN gap BETWEEN 120 AND 1800 THEN 0 ELSE 1 END AS brk FROM d),
@@ -34,9 +34,8 @@ r AS (SELECT *, sum(brk) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS run FROM f)
 SELECT mooring, min(onset_us) AS begin_us, max(onset_us) AS end_us, count(*) AS n FROM r GROUP BY mooring, run HAVING count(*) >= 3""")
 def w3_bouts(spark, sf):
     """Runs of at least three events whose gaps are all in a range; the event before the first gap belongs to the run."""
-    c = catalogue(spark, sf)
-    order = [F.col("onset_us"), F.col("event_id")]
-    r = rel.islands(c, ["mooring"], order, ~F.coalesce((rel.gap("onset_us", ["mooring"], order) / 1e6).between(120, 1800), F.lit(False)), "run")
+    gap = (F.col("onset_us") - F.col("prev.onset_us")) / 1e6
+    r = scans.islands(catalogue(spark, sf), ["mooring"], _ORDER, ~gap.between(120, 1800), "run")
     return r.groupBy("mooring", "run").agg(F.min("onset_us").alias("begin_us"), F.max("onset_us").alias("end_us"), F.count("*").alias("n")).where("n >= 3").drop("run")
 
 
@@ -48,13 +47,13 @@ SELECT {p} min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM r GROUP BY {p} run""
 @plan(_MERGE.format(p="file_number,", q="PARTITION BY file_number"))
 def w4_merge_intervals(spark, sf):
     w = catalogue(spark, sf).select("file_number", F.col("onset_us").alias("lo"), F.col("end_us").alias("hi"))
-    return rel.merge_intervals(w, "lo", "hi", ["file_number"])
+    return scans.merge_intervals(w, "lo", "hi", ["file_number"])
 
 
 @plan(_MERGE.format(p="mooring,", q="PARTITION BY mooring"))
 def w5_merge_intervals_by_station(spark, sf):
     w = catalogue(spark, sf).select("mooring", F.col("onset_us").alias("lo"), F.col("end_us").alias("hi"))
-    return rel.merge_intervals(w, "lo", "hi", ["mooring"])
+    return scans.merge_intervals(w, "lo", "hi", ["mooring"])
 
 
 _TRIG = f"""v AS (SELECT mooring, snr, row_number() OVER ({_W}) - 1 AS i FROM cat), s AS (SELECT *, coalesce(last_value(CASE WHEN snr >= 60 THEN 1 WHEN snr <= 30 THEN 0 END IGNORE NULLS) OVER (PARTITION BY mooring ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS st FROM v),
@@ -63,8 +62,7 @@ r AS (SELECT *, sum(up) OVER (PARTITION BY mooring ORDER BY i ROWS UNBOUNDED PRE
 
 
 def _triggers(spark, sf):
-    v = catalogue(spark, sf).select("mooring", "snr", (F.row_number().over(_w()) - 1).cast("long").alias("i"))
-    return rel.triggers(v, ["mooring"], "i", "snr", 60, 30)
+    return scans.triggers(catalogue(spark, sf).select("mooring", "snr", *_ORDER), ["mooring"], _ORDER, "snr", 60, 30)
 
 
 @plan(f"{_TRIG} SELECT mooring, on_at, off_at FROM trig")
@@ -78,19 +76,15 @@ SELECT mooring, min(on_at) AS on_at, max(off_at) AS off_at FROM m GROUP BY moori
 def w7_min_duration_then_gap_merge(spark, sf):
     """Short triggers go first, so that they cannot bridge two events; then those with a short gap are merged."""
     t = _triggers(spark, sf).where("off_at - on_at >= 2")
-    order = [F.col("on_at")]
-    gap = F.col("on_at") - F.lag("off_at").over(Window.partitionBy("mooring").orderBy(*order))
-    return rel.islands(t, ["mooring"], order, gap >= 3, "run").groupBy("mooring", "run").agg(F.min("on_at").alias("on_at"), F.max("off_at").alias("off_at")).drop("run")
+    return scans.islands(t, ["mooring"], ["on_at", "off_at"], F.col("on_at") - F.col("prev.off_at") >= 3, "run", 4096).groupBy("mooring", "run").agg(F.min("on_at").alias("on_at"), F.max("off_at").alias("off_at")).drop("run")
 
 
 @plan("""t AS (SELECT *, max(end_us) OVER (PARTITION BY mooring ORDER BY onset_us, end_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM cat),
 r AS (SELECT *, sum(CASE WHEN top IS NULL OR onset_us > top THEN 1 ELSE 0 END) OVER (PARTITION BY mooring ORDER BY onset_us, end_us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM t)
 SELECT mooring, arg_max(event_id, struct_pack(a := snr, b := event_id)) AS best, count(DISTINCT band) AS bands, count(*) AS n FROM r GROUP BY mooring, run""")
 def w8_cross_band_merge(spark, sf):
-    c = catalogue(spark, sf)
-    w = Window.partitionBy("mooring").orderBy("onset_us", "end_us", "event_id")
-    top = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    r = rel.islands(c.withColumn("top", top), ["mooring"], [F.col("onset_us"), F.col("end_us"), F.col("event_id")], F.col("onset_us") > F.col("top"), "run")
+    s = scans.Scan(catalogue(spark, sf), ["mooring"], ["onset_us", "end_us", "event_id"]).running("end_us", "max", "top", before=True)
+    r = s.running(F.coalesce(F.col("onset_us") > F.col("top"), F.lit(False)).cast("long"), "sum", "run").rows()
     return r.groupBy("mooring", "run").agg(F.max_by("event_id", F.struct("snr", "event_id")).alias("best"), F.count_distinct("band").alias("bands"), F.count("*").alias("n")).drop("run")
 
 
@@ -135,8 +129,9 @@ def w12_rolling_median(spark, sf):
 
 @plan(f"SELECT event_id, lag(end_us) OVER ({_W}) AS prev_end, greatest(onset_us - 5000000, coalesce(lag(end_us) OVER ({_W}), onset_us - 5000000)) AS search_from FROM cat")
 def w13_previous_end(spark, sf):
-    prev = F.lag("end_us").over(_w())
-    return catalogue(spark, sf).select("event_id", prev.alias("prev_end"), F.greatest(F.col("onset_us") - 5_000_000, F.coalesce(prev, F.col("onset_us") - 5_000_000)).alias("search_from"))
+    c = scans.Scan(catalogue(spark, sf), ["mooring"], _ORDER).previous("prev", "end_us").rows()
+    prev = F.col("prev.end_us")
+    return c.select("event_id", prev.alias("prev_end"), F.greatest(F.col("onset_us") - 5_000_000, F.coalesce(prev, F.col("onset_us") - 5_000_000)).alias("search_from"))
 
 
 @plan("SELECT event_id, printf('E%06d', CAST(row_number() OVER (ORDER BY onset_us, mooring, band, event_id) - 1 AS INT)) AS id FROM cat")
