@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import rel, scans
+from ..operators import rel, scans, verdicts
 from ..sources.tables import catalogue
 from .registry import plan
 
@@ -151,3 +151,12 @@ def g23_s_minus_p(spark, sf):
     first = lambda f: F.min(F.when(F.col("l_returnflag") == f, F.col("l_quantity")))
     p = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s")).agg(first("A").alias("tp"), first("R").alias("ts")).where("ts > tp")
     return p.select("k", "s", F.round((F.col("ts") - F.col("tp")) * 6.5 * 3.75 / (6.5 - 3.75), 6).alias("km"))
+
+
+@plan()
+def g28_verdict_events(spark, sf):
+    """Verdicts on the panels of each band's two samples, with the events that they are on."""
+    c = catalogue(spark, sf).select("event_id", F.col("band").alias("cluster_id"), F.col("snr").alias("x"), F.col("duration_s").alias("y"))
+    kinds, panels = F.explode(F.array(*[F.lit(k) for k in verdicts.SEEDS])), F.explode(F.sequence(F.lit(1), F.lit(verdicts.SAMPLE)))
+    v = c.select("cluster_id").distinct().withColumn("sample", kinds).withColumn("panel", panels).withColumn("verdict", F.when(F.col("panel") % 4 == 0, "r").otherwise("a"))
+    return verdicts.judged(c, v, width=1 << 16)
