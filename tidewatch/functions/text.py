@@ -49,7 +49,11 @@ def mentions(note: Column, *kinds: str) -> Column:
 
 
 def contains_any(value: Column, *words: str) -> Column:
-    return F.lower(value).rlike("|".join(words))
+    """Whether a value holds one of the words, in lower case, anywhere."""
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(F.lower(value), F.lit(w))
+    return hit
 
 
 def source_level(received: Column, metres: Column) -> Column:
