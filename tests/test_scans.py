@@ -75,6 +75,18 @@ def test_triggers_and_islands(spark, width):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_frames(spark, block):
+    data = rows(4)
+    c = scans.framed(spark.createDataFrame(data, "id long, k string, t long, v long"), ["k"], ["t", "id"], 3, 2, 90, block)
+    w = scans.frame(["k"]).rowsBetween(-3, 2)
+    got = {r.id: (r.i, r.ids) for r in c.select("id", F.col("_i").alias("i"), "_own", F.collect_list("id").over(w).alias("ids")).where("_own").collect()}
+    assert len(got) == len(data)
+    for own in by_key(data).values():
+        for i, r in enumerate(own):
+            assert got[r[0]] == (i, [x[0] for x in own[max(0, i - 3) : i + 3]])
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, k string, t long, v long")
     assert scans.islands(df, ["k"], ["t", "id"], F.col("t") > 0).collect() == []

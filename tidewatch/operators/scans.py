@@ -74,3 +74,21 @@ def triggers(df: DataFrame, keys: list[str], order: list[str], value: str, on: f
     s.df = s.df.withColumn("_up", ((F.col("_s") == 1) & (was == 0)).cast("long")).withColumn("_down", F.when((F.col("_s") == 0) & (was == 1), F.col("_i")))
     runs = s.running("_up", "sum", "_run").rows().where("_run > 0")
     return runs.groupBy(*keys, "_run").agg(F.min("_i").alias("on_at"), F.coalesce(F.min("_down"), F.max("_i")).alias("off_at")).drop("_run")
+
+
+#: Rows of a block.
+BLOCK = 4096
+
+
+def framed(df: DataFrame, keys: list[str], order: list[str], before: int, after: int, width: int = DAY, block: int = BLOCK) -> DataFrame:
+    """Rows in blocks of their number within the key (_i, from 0), each with the rows before and after it that frames of its own rows reach (_own is false for these).
+
+    A window by frame() over such a block gives its own rows what a window over the whole key would; then keep the rows where _own holds.
+    """
+    s = Scan(df, keys, order, width).running(F.lit(1).cast("long"), "sum", "_i").rows().withColumn("_i", F.col("_i") - 1)
+    at = F.sequence(F.greatest(F.floor((F.col("_i") - after) / block), F.lit(0)), F.floor((F.col("_i") + before) / block))
+    return s.withColumn("_block", F.explode(at)).withColumn("_own", F.col("_block") == F.floor(F.col("_i") / block))
+
+
+def frame(keys: list[str]):
+    return Window.partitionBy(*keys, "_block").orderBy("_i")

@@ -13,10 +13,6 @@ _W = "PARTITION BY mooring ORDER BY onset_us, event_id"
 _ORDER = ["onset_us", "event_id"]
 
 
-def _w():
-    return Window.partitionBy("mooring").orderBy("onset_us", "event_id")
-
-
 @plan(f"SELECT event_id, onset_us - lag(onset_us) OVER ({_W}) AS dt_us FROM cat")
 def w1_lag_difference(spark, sf):
     c = scans.Scan(catalogue(spark, sf), ["mooring"], _ORDER).previous("prev", "onset_us").rows()
@@ -92,9 +88,10 @@ def w8_cross_band_merge(spark, sf):
 SELECT event_id, round(CASE WHEN i < 30 OR lta <= 0 THEN 0 ELSE sta / lta END, 6) AS ratio FROM v""")
 def w9_sta_lta(spark, sf):
     """Ratio of trailing means; 0 before both windows have filled, an index late, and where the long mean is not positive."""
-    w = _w()
-    v = catalogue(spark, sf).select("event_id", (F.row_number().over(w) - 1).alias("i"), F.avg("snr").over(w.rowsBetween(-4, 0)).alias("sta"), F.avg("snr").over(w.rowsBetween(-29, 0)).alias("lta"))
-    return v.select("event_id", F.round(F.when((F.col("i") < 30) | (F.col("lta") <= 0), 0.0).otherwise(F.col("sta") / F.col("lta")), 6).alias("ratio"))
+    w = scans.frame(["mooring"])
+    c = scans.framed(catalogue(spark, sf), ["mooring"], _ORDER, 29, 0)
+    v = c.select("event_id", "_own", F.col("_i").alias("i"), F.avg("snr").over(w.rowsBetween(-4, 0)).alias("sta"), F.avg("snr").over(w.rowsBetween(-29, 0)).alias("lta"))
+    return v.where("_own").select("event_id", F.round(F.when((F.col("i") < 30) | (F.col("lta") <= 0), 0.0).otherwise(F.col("sta") / F.col("lta")), 6).alias("ratio"))
 
 
 @plan(f"""v AS (SELECT event_id, list(snr) OVER ({_W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS v FROM cat), m AS (SELECT *, list_avg(v) AS m FROM v WHERE len(v) = 50), d AS (SELECT event_id, list_transform(v, lambda x: x - m) AS d FROM m)
@@ -102,10 +99,10 @@ SELECT event_id, round(list_avg(list_transform(d, lambda x: x * x * x * x)) / po
 def w10_sliding_kurtosis(spark, sf):
     """Excess kurtosis of the last 50 rows, from sums of powers of the values less their station's mean, so that the sums don't cancel."""
     means = catalogue(spark, sf).groupBy("mooring").agg(F.avg("snr").alias("c"))
-    d = catalogue(spark, sf).join(F.broadcast(means), "mooring").withColumn("d", F.col("snr") - F.col("c"))
-    w = _w().rowsBetween(-49, 0)
+    d = scans.framed(catalogue(spark, sf), ["mooring"], _ORDER, 49, 0).join(F.broadcast(means), "mooring").withColumn("d", F.col("snr") - F.col("c"))
+    w = scans.frame(["mooring"]).rowsBetween(-49, 0)
     # sums of frames that slide are made anew for each row, so that no error is carried along
-    s = d.select("event_id", F.count("d").over(w).alias("n"), *[(F.sum(F.pow("d", F.lit(k))).over(w) / 50).alias(f"m{k}") for k in (1, 2, 3, 4)]).where("n = 50")
+    s = d.select("event_id", "_own", F.count("d").over(w).alias("n"), *[(F.sum(F.pow("d", F.lit(k))).over(w) / 50).alias(f"m{k}") for k in (1, 2, 3, 4)]).where("_own AND n = 50")
     m, m2, m3, m4 = (F.col(f"m{k}") for k in (1, 2, 3, 4))
     var = m2 - m * m
     return s.select("event_id", F.round((m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m * m * m * m) / (var * var) - 3, 3).alias("kurtosis"))
@@ -113,15 +110,16 @@ def w10_sliding_kurtosis(spark, sf):
 
 @plan(f"s AS (SELECT event_id, mooring, onset_us, avg(snr) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM cat) SELECT event_id, round(s, 6) AS smooth, round((lead(s) OVER ({_W}) - lag(s) OVER ({_W})) / 2, 6) AS gradient FROM s")
 def w11_boxcar_and_gradient(spark, sf):
-    s = catalogue(spark, sf).withColumn("s", F.avg("snr").over(_w().rowsBetween(-2, 2)))
-    return s.select("event_id", F.round("s", 6).alias("smooth"), F.round((F.lead("s").over(_w()) - F.lag("s").over(_w())) / 2, 6).alias("gradient"))
+    w = scans.frame(["mooring"])
+    s = scans.framed(catalogue(spark, sf), ["mooring"], _ORDER, 3, 3).withColumn("s", F.avg("snr").over(w.rowsBetween(-2, 2)))
+    return s.select("event_id", "_own", F.round("s", 6).alias("smooth"), F.round((F.lead("s").over(w) - F.lag("s").over(w)) / 2, 6).alias("gradient")).where("_own").drop("_own")
 
 
 @plan(f"r AS (SELECT event_id, median(snr) OVER w AS med, count(*) OVER w AS n FROM cat WINDOW w AS ({_W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT event_id, round(CASE WHEN n >= 8 THEN med END, 6) AS med FROM r")
 def w12_rolling_median(spark, sf):
-    w = _w().rowsBetween(-5, 5)
+    w = scans.frame(["mooring"]).rowsBetween(-5, 5)
     # a window's median is that of its few values: taken from the sorted list
-    r = catalogue(spark, sf).select("event_id", F.sort_array(F.collect_list("snr").over(w)).alias("v"))
+    r = scans.framed(catalogue(spark, sf), ["mooring"], _ORDER, 5, 5).select("event_id", "_own", F.sort_array(F.collect_list("snr").over(w)).alias("v")).where("_own")
     n = F.size("v")
     med = (F.element_at("v", F.floor((n + 1) / 2).cast("int")) + F.element_at("v", F.floor((n + 2) / 2).cast("int"))) / 2
     return r.select("event_id", F.round(F.when(n >= 8, med), 6).alias("med"))
