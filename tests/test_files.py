@@ -113,7 +113,7 @@ def test_delimited(spark, tmp_path):
     lines = ["20190101203040 2 31 -62.1 -59 0.1 0.2 1.5 - - ship EQ iq", "2019010120304055 3 4 -62 -59 0 0 0 - - none at all", "20190101203040 2 31 -62.1 -59 0.1 0.2 1.5 - -", "2019010120304 2 31 -62.1 -59 0.1 0.2 1.5 - - EQ", "20190101203040 x 31 -62.1 -59 0.1 0.2 1.5 - - EQ", "", "20190101203040 2 31 -62.1 -59 0.1 oh 1.5 - - EQ"]
     got = sorted(delimited.analyst_events(spark.createDataFrame([(x,) for x in lines], "value string")).collect(), key=lambda r: r.onset_us)
     us = round((datetime(2019, 1, 10, 12, 3, 4) - datetime(1970, 1, 1)).total_seconds() * 1e6)
-    assert [(r.onset_us, r.singer_class, r.first_mooring, r.notes) for r in got] == [(us, "EQ", "m3", "ship EQ iq"), (us + 550_000, "other", "m4", "none at all")]
+    assert [(r.onset_us, r.analyst_class, r.first_mooring, r.notes) for r in got] == [(us, "EQ", "m3", "ship EQ iq"), (us + 550_000, "other", "m4", "none at all")]
     (tmp_path / "c.csv").write_text("date,lat,Unnamed: 11,\n737791.5,1.0,,\n")
     d = delimited.read_csv(spark, str(tmp_path / "c.csv"))
     assert d.columns == ["date", "lat"]

@@ -40,14 +40,14 @@ def analyst_class(tok: str = "tok") -> Column:
 def analyst_events(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lines of the analyst's catalogue: stamp, number of stations, their order, place, two errors, residual, two more tokens, and notes.
 
-    (onset_us, n_moorings, arrival_order, first_mooring, lat, lon, residual, singer_class, notes). A line with fewer than eleven tokens, a stamp
+    (onset_us, n_moorings, arrival_order, first_mooring, lat, lon, residual, analyst_class, notes). A line with fewer than eleven tokens, a stamp
     shorter than fourteen characters, or one of the numbers no number is left out.
     """
     t = tokens(lines, column)
     out = t.select(
         text.compact_micros(F.col("tok")[0]).alias("onset_us"), F.col("tok")[1].try_cast("int").alias("n_moorings"), F.col("tok")[2].alias("arrival_order"), F.concat(F.lit("m"), F.substring(F.col("tok")[2], 1, 1)).alias("first_mooring"),
         F.col("tok")[3].try_cast("double").alias("lat"), F.col("tok")[4].try_cast("double").alias("lon"), F.col("tok")[5].try_cast("double").alias("_e1"), F.col("tok")[6].try_cast("double").alias("_e2"), F.col("tok")[7].try_cast("double").alias("residual"),
-        analyst_class().alias("singer_class"), F.array_join(F.slice("tok", NOTES_AT, F.size("tok")), " ").alias("notes"),
+        analyst_class().alias("analyst_class"), F.array_join(F.slice("tok", NOTES_AT, F.size("tok")), " ").alias("notes"),
     )
     return out.dropna(subset=["onset_us", "n_moorings", "lat", "lon", "_e1", "_e2", "residual"]).drop("_e1", "_e2")
 
