@@ -5,8 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from tidewatch.llm import neardup
+from tidewatch.llm import graph, neardup
 from tidewatch.llm.common import word_hashes
 
 from .test_brute_force import roots, shingles
@@ -92,3 +94,14 @@ def test_rows_of_one_id(spark):
     assert neardup.one_of_each(df).columns == df.columns
     comps = {r.doc_id: r.component_id for r in neardup.link_components(df, 5, 80, 100).collect()}
     assert comps == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_rounds_keep_the_plan_small(spark):
+    n = 150
+    edges = spark.range(n - 1).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    found = graph.components(edges, local_edges=10)
+    low = spark.range(n).select(F.xxhash64("id").alias("x")).agg(F.min("x")).first()[0]
+    assert found.groupBy("component").count().collect() == [Row(component=low, count=n)]
+    # what Spark expects of the rows' size: with checkpoints alone it took four times the digits after each round
+    for df in (found, graph.components(edges), graph.relabel(found, edges)):
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 60

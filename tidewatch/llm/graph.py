@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, shared_folder
 
 #: 16 bytes an edge: one task can hold so many.
 LOCAL_EDGES = 1_000_000
@@ -42,6 +44,16 @@ def _local(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(low, pa.int64())], names=["node", "component"])
 
 
+def _settled(df: DataFrame, path: str) -> DataFrame:
+    """df's rows of two longs, written and read again.
+
+    A checkpoint keeps the size that Spark expects of its plan, which a join multiplies: over rounds of joins that number itself, an
+    integer of any length, has four times the digits after each, until it fills the driver. Files have their real size.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(", ".join(f"{x} long" for x in df.columns)).parquet(path)
+
+
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(a, b) rows to (node long, component long): the smallest node that each node reaches.
 
@@ -52,16 +64,19 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     e = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"), (F.col("a") != F.col("b")).alias("ok")).where("ok").select("u", "v").distinct()
     e = keep(e)
     n = e.count()
+    path = f"{shared_folder(e.sparkSession)}/components-{uuid.uuid4().hex}"
     if n <= local_edges:
-        return keep(e.coalesce(1).mapInArrow(_local, "node long, component long"))
-    mark = _mark(e)
+        return _settled(e.coalesce(1).mapInArrow(_local, "node long, component long"), path)
+    mark, turn = _mark(e), 0
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        # two folders in turn: a round's edges are read until the next ones are written
+        e = _settled(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{path}-{turn}")
+        turn = 1 - turn
         last, mark = mark, _mark(e)
         if mark == last:
             break
