@@ -2,8 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from tidewatch.llm import phrases
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -76,3 +80,36 @@ def test_op11_wide_numbers(spark, monkeypatch):
     monkeypatch.setattr(phrases, "phrase_counts", lambda *_: (counts, totals))
     got = {r.phrase: (r.l, r.r, r.score) for r in phrases.collocations(spark.createDataFrame([], "text string, lang string")).collect()}
     assert got == {"a b": (big, big - 1, 2000000 * (big - 7) // (2 * big - 1)), "a b c": (big - 7, 9, 2000000 * 9 // (big + 2))}
+
+
+def test_fragments_take_little_memory(monkeypatch):
+    rng = np.random.default_rng(5)
+    codes = rng.integers(97, 123, 1 << 20, dtype=np.uint8)
+    starts = rng.integers(0, len(codes) - 40, 1 << 19)
+    ends = starts + rng.integers(0, 33, len(starts))
+    tracemalloc.start()
+    got = phrases.slices(codes, starts, ends)
+    size, peak = int((ends - starts).sum()), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the bytes, their offsets and what is gathered at a time; places of all bytes at once took 24 times their size
+    assert peak < 8 * size
+    assert got.slice(1000, 50).to_pylist() == [codes[a:b].tobytes() for a, b in zip(starts[1000:1050], ends[1000:1050])]
+
+    class Table:
+        value = np.full(phrases.CELLS, 50, dtype=np.uint32)
+
+    words = ["ab", "c", "déf", "g", "hi"]
+    rows = [(" ".join(rng.choice(words, 60)), lang) for lang in ("x", None, "y") for _ in range(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["text", "lang"])
+
+    def cut():
+        out = Counter()
+        for b in phrases._fragments(Table, 30, 500)([batch]):
+            for *key, n, _ in zip(*(c.to_pylist() for c in b.columns)):
+                out[tuple(key)] += n
+        return out
+
+    want = cut()
+    monkeypatch.setattr(phrases, "GROUPED", 7)
+    monkeypatch.setattr(phrases, "GATHERED", 5)
+    assert want and cut() == want

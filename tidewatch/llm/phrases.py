@@ -25,6 +25,8 @@ CHUNK, ROWS = 1 << 22, 1 << 17
 SPREAD = 1 << 18
 #: Parts in which the best phrases of a language are chosen first, and over which what is known of a single word is spread.
 PARTS, SALTS = 32, 16
+#: Bytes that are gathered at a time, whose places take eight times as much, and fragments that are grouped at a time.
+GATHERED, GROUPED = 1 << 20, 1 << 16
 #: A word that is too rare to be part of a phrase.
 NEVER = np.uint64((1 << 64) - 1)
 
@@ -61,8 +63,14 @@ def slices(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The byte strings between starts and ends."""
     size = ends - starts
     upto = np.concatenate([[0], np.cumsum(size)])
-    data = codes[np.repeat(starts - upto[:-1], size) + np.arange(upto[-1])]
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    data, at = np.empty(upto[-1], dtype=np.uint8), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + GATHERED, side="right")) - 1)
+        places = np.repeat(starts[at:to] - upto[at:to], size[at:to])
+        places += np.arange(upto[at], upto[to])
+        data[upto[at] : upto[to]] = codes[places]
+        at = to
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(data)])
 
 
 def _cell_hashes(words: list[bytes], lang: np.ndarray) -> np.ndarray:
@@ -177,15 +185,20 @@ def _fragments(table, fewest: int, chunk: int):
             at = np.flatnonzero(left + right)
             if not len(at):
                 continue
-            text = slices(w.codes, w.at[at - left[at]], w.at[at + right[at] + 1] - 1)
-            t = pa.table({"lang": pa.array(lang[at]), "pivot": pa.array(rare[at].astype(np.int64)), "place": pa.array(left[at].astype(np.int8)), "fragment": text})
-            t = t.group_by(["lang", "pivot", "place", "fragment"]).aggregate([([], "count_all")]).combine_chunks()
-            seen = (1 << 32) - 1 - (t["pivot"].to_numpy() >> 31)
-            for b in t.append_column("seen", pa.array(seen)).to_batches(1 << 15):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names).take(b.column("lang")), b.column("pivot"), b.column("place"), _utf8(b.column("fragment")), b.column("count_all"), b.column("seen")],
-                    names=["lang", "pivot", "place", "fragment", "n", "seen"],
-                )
+            # by pivot and a bounded number at a time, so that equal fragments still meet and no table of a whole chunk is made
+            at = at[np.argsort(rare[at], kind="stable")]
+            for i in range(0, len(at), GROUPED):
+                own = at[i : i + GROUPED]
+                text = slices(w.codes, w.at[own - left[own]], w.at[own + right[own] + 1] - 1)
+                t = pa.table({"lang": pa.array(lang[own]), "pivot": pa.array(rare[own].astype(np.int64)), "place": pa.array(left[own].astype(np.int8)), "fragment": text})
+                t = t.group_by(["lang", "pivot", "place", "fragment"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+                seen = (1 << 32) - 1 - (t["pivot"].to_numpy() >> 31)
+                for b in t.append_column("seen", pa.array(seen)).to_batches(1 << 15):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names).take(b.column("lang")), b.column("pivot"), b.column("place"), _utf8(b.column("fragment")), b.column("count_all"), b.column("seen")],
+                        names=["lang", "pivot", "place", "fragment", "n", "seen"],
+                    )
+            pa.default_memory_pool().release_unused()
 
     return cut
 
@@ -228,7 +241,7 @@ def _mine(t: pa.Table) -> pa.Table:
             b.append(ends[first[rows] + begin[rows] + n - 1])
     of = np.concatenate(of)
     out = t.select(["lang", "pivot", "n", "spread"]).take(pa.array(of)).append_column("phrase", slices(codes, np.concatenate(a), np.concatenate(b)))
-    return out.group_by(["lang", "phrase", "pivot", "spread"]).aggregate([("n", "sum")])
+    return out.group_by(["lang", "phrase", "pivot", "spread"], use_threads=False).aggregate([("n", "sum")])
 
 
 def _miner(fewest: int, most: int):
