@@ -1,6 +1,7 @@
 """Token ids, their files and the packing plan against the library and plain versions."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -96,3 +97,23 @@ def test_plan():
         assert -(-sum(x * v for x, v in counts.items()) // capacity) <= total <= best_fit
     assert packing.plan({5: 1, 3: 1, 2: 1}, 10) == [((5, 3, 2), 1)]
     assert packing.plan({4: 1, 3: 2, 2: 1, 1: 1}, 10) and sum(k for _, k in packing.plan({4: 1, 3: 1, 2: 1, 1: 1}, 10)) == 1
+
+
+@pytest.mark.parametrize("before", ["", " "])
+def test_runs_are_not_made_objects(monkeypatch, before):
+    enc = tokens.Encoder(tokens.resolve(tokens.WORD_BPE), True)
+    n, seen = 100_000, []
+    runs = pa.array([f"{i:06d}" for i in range(n)])
+
+    def cut(joined):
+        seen.append(joined)
+        return np.empty(0, np.uint32), np.zeros(n, np.int64)
+
+    monkeypatch.setattr(enc, "_cut", cut)
+    tracemalloc.start()
+    enc._runs(runs, before)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == ["".join(f"{before}{i:06d}\0" for i in range(n))]
+    # their number's arrays and the joined text; a string of each run took 110 bytes a run
+    assert peak < 100 * n

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -82,7 +83,7 @@ class Encoder:
             self.ids = np.concatenate([self.ids[: self.used], np.empty(2 * end - self.used, dtype=np.uint32)])
         if n + len(pieces) > len(self.begin):
             self.begin, self.size = (np.concatenate([x[:n], np.empty(2 * n + len(pieces), dtype=np.int64)]) for x in (self.begin, self.size))
-        self.ids[self.used : end] = np.fromiter((x for own in ids for x in own), dtype=np.uint32, count=end - self.used)
+        self.ids[self.used : end] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=end - self.used)
         self.begin[n : n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(pieces)] = sizes
         self.known.update(zip(pieces, range(n, n + len(pieces))))
@@ -105,8 +106,10 @@ class Encoder:
     def _runs(self, runs: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of distinct runs, and where those of each begin and how many they are. before: what stands before each in its text."""
         plain = pc.match_substring_regex(runs, self.runs)
-        own = runs.filter(plain).to_pylist()
-        ids, sizes = self._cut(before + ("\0" + before).join(own) + "\0") if own else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        own = runs.filter(plain)
+        # joined by Arrow, which makes no object of each run
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(own)], own), "\0" + before)[0].as_py()
+        ids, sizes = self._cut(before + joined + "\0") if len(own) else (np.empty(0, np.uint32), np.empty(0, np.int64))
         plain = plain.to_numpy(zero_copy_only=False)
         rest = self._whole([before + r for r in runs.filter(pa.array(~plain)).to_pylist()])
         size = np.empty(len(runs), dtype=np.int64)

@@ -43,16 +43,17 @@ def dump(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, frame: int =
     docs = packer.compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<u8").tobytes())
     at = len(MAGIC) + _HEAD.size + n_planes * 8 * (2 + 2 * n_frames) + len(docs)
     index, frames = [], []
-    rest = ids.astype(np.uint32)
+    rest = ids.astype(np.uint16 if n_planes <= 16 else np.uint32)
     for bit in range(n_planes - 1, -1, -1):
-        on = (rest >> np.uint32(bit)) & np.uint32(1) == 1
+        on = (rest & rest.dtype.type(1 << bit)).astype(bool)
         plane = np.packbits(on, bitorder="little")
         ones = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), frame), dtype=np.uint64) if len(plane) else np.empty(0, np.uint64)
         own = [packer.compress(plane[i : i + frame].tobytes()) for i in range(0, len(plane), frame)]
         ends = at + np.cumsum([0, *map(len, own)])
         at = int(ends[-1])
         frames += own
-        zeros, rest = rest[~on], rest[on]
+        # places are faster to take than masks where bits are in no order
+        zeros, rest = rest.take(np.flatnonzero(~on)), rest.take(np.flatnonzero(on))
         index += [np.array([len(zeros)]), np.cumsum(ones) - ones, ends]
         rest = np.concatenate([zeros, rest])
     return b"".join([MAGIC, _HEAD.pack(len(ids), n_planes, len(doc_ids), len(docs), frame, 0), *[x.astype("<u8").tobytes() for x in index], docs, *frames])
@@ -155,7 +156,7 @@ class Wavelet:
             # the order after plane k is its zeros and then its ones; put back what lower planes gave
             back = np.empty(self.n, dtype=np.uint32)
             z = self.zeros[k]
-            back[~on], back[on] = ids[:z], ids[z:] | np.uint32(1 << (len(self.zeros) - 1 - k))
+            back[np.flatnonzero(~on)], back[np.flatnonzero(on)] = ids[:z], ids[z:] | np.uint32(1 << (len(self.zeros) - 1 - k))
             ids = back
         return ids
 
