@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: A worker forgets the pieces that it has not just met when it holds so many, and between tasks.
-CACHE_PIECES, IDLE_PIECES = 300_000, 50_000
+CACHE_PIECES, IDLE_PIECES = 100_000, 50_000
 #: Bytes of text that are encoded at a time; a longer text is one slice.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Any white space before a blank.
 _BEFORE_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
