@@ -44,7 +44,7 @@ class Encoder:
         held = "".join(map(chr, range(256)))
         ((mapped, _),) = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(held)
         self.alphabet = {ord(a): b for a, b in zip(held.encode().decode("latin-1"), mapped)}
-        self.drops_space = drops_space
+        self.drops_space, self.most = drops_space, CACHE_PIECES
         if drops_space:
             self.runs, self.pieces = f"^{_SEEN}+$", re.compile(f"\0|[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
         else:
@@ -94,7 +94,7 @@ class Encoder:
         pieces = self.pieces.findall(runs.lower() if self.drops_space else runs)
         own = set(pieces)
         new = own - self.known.keys()
-        if len(self.known) + len(new) > CACHE_PIECES:
+        if len(self.known) + len(new) > self.most:
             # what comes up often comes up in this slice as well
             self._keep(list(own - new - {"\0"}))
         self._learn(list(new))
@@ -170,9 +170,13 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return _LOADED[path]
 
 
-def encoded(batches, vocabulary: str, drops_space: bool, end: int, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches, which have a column text, with the ids of their texts in a row, each with the end id after it, and where each text's ids end."""
+def encoded(batches, vocabulary: str, drops_space: bool, end: int, size: int = SLICE_BYTES, most: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches, which have a column text, with the ids of their texts in a row, each with the end id after it, and where each text's ids end.
+
+    size: bytes of a slice. most: pieces that are remembered, CACHE_PIECES if not given. More of both is faster and holds more.
+    """
     enc = encoder(vocabulary, drops_space)
+    enc.most = most or CACHE_PIECES
     for b in batches:
         texts = b.column(b.schema.get_field_index("text"))
         upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)

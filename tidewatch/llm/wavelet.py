@@ -33,6 +33,8 @@ FRAME = 1 << 13
 NULL_ID = -(1 << 63)
 #: A shard is closed after the document that takes it to so many ids.
 SHARD_IDS = 1 << 20
+#: Bytes of text that are encoded at a time, which is a shard's text or more, and pieces that a worker remembers.
+SLICE_BYTES, PIECES = 1 << 22, 300_000
 
 
 def dump(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, frame: int = FRAME) -> bytes:
@@ -177,7 +179,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = WORD_BPE, end: in
             held = dump(np.concatenate(ids), np.concatenate(doc_ids), np.concatenate(lengths))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([held], pa.binary())], names=["part", "shard", "payload"])
 
-        for b, x, ends in encoded(batches, vocab, True, end):
+        for b, x, ends in encoded(batches, vocab, True, end, SLICE_BYTES, PIECES):
             part = b.column(2)[0].as_py()
             names, sizes = b.column(0).fill_null(NULL_ID).to_numpy(), np.diff(ends, prepend=0)
             at = 0
