@@ -1,6 +1,7 @@
 """Token ids, their files and the packing plan against the library and plain versions."""
 
 import random
+import re
 import tracemalloc
 from collections import Counter
 
@@ -136,3 +137,43 @@ def test_encoding_holds_little():
     assert rows == len(texts)
     # 61 MB; slices of 4 MB and 300,000 pieces took 200 MB
     assert peak < 100_000_000
+
+
+def test_repeated_pieces_are_not_made_objects():
+    """What a slice's pieces take beyond their arrays follows the distinct ones."""
+    enc = tokens.Encoder(tokens.resolve(tokens.WORD_BPE), True)
+    n = 200_000
+    runs = "".join(f"word{'abcdefgh'[i % 8]}--\0" for i in range(n))
+    enc._cut(runs)
+    tracemalloc.start()
+    ids, counts = enc._cut(runs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(counts) == n and counts.sum() == len(ids)
+    # 48 bytes a piece; 86 where each was a string
+    assert peak < 60 * 3 * n
+
+
+def test_distinct_pieces():
+    """Arrow's pieces are those of the library's pattern, in order."""
+    rng = random.Random(5)
+    seen = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x100)) if chr(c) not in "'×÷"]
+    for n in (0, 1, 7, 3000):
+        runs = "".join("".join(rng.choices(seen, k=rng.randint(1, 9))) + "\0" for _ in range(n)).lower()
+        own, where = tokens._distinct(runs)
+        assert [own[i] for i in where] == re.findall(r"\0|[a-zß-ÿ]+|[0-9]|[^a-zß-ÿ0-9\0]+", runs) and len(set(own)) == len(own)
+
+
+def test_pieces_between_tasks(monkeypatch):
+    """A later task merges no piece that an earlier one met, if as many may be held."""
+    path, learned = tokens.resolve(tokens.WORD_BPE), []
+    learn = tokens.Encoder._learn
+    monkeypatch.setattr(tokens, "IDLE_PIECES", 10)
+    monkeypatch.setattr(tokens.Encoder, "_learn", lambda self, pieces: (learned.append(len(pieces)), learn(self, pieces))[1])
+    tokens._LOADED.clear()
+    first, last = ([f"{a}{b}{c}" for a in "abcdefgh" for b in "klmnop" for c in tail] for tail in ("xy", "zw"))
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(first), " ".join(last)])], names=["text"])
+    for _ in range(2):
+        assert len(list(tokens.encoded([batch], path, True, 1, 8, 1000, 1000))) == 2
+    tokens._LOADED.clear()
+    assert learned == [96, 96, 0, 0]

@@ -32,6 +32,9 @@ _SPECIAL = "<|"
 #: Characters of the runs that are cut here; an apostrophe is not among them, as both patterns give it a meaning.
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 _SEEN = f"[{_LETTERS}0-9{_MARKS}]"
+#: Of each byte of lower-cased runs of such characters: a zero byte, a letter's, a digit or a mark.
+_KINDS = np.full(256, 3, dtype=np.uint8)
+_KINDS[0], _KINDS[ord("0") : ord("9") + 1], _KINDS[ord("a") : ord("z") + 1], _KINDS[0x80:] = 0, 2, 1, 1
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -44,13 +47,13 @@ class Encoder:
         held = "".join(map(chr, range(256)))
         ((mapped, _),) = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(held)
         self.alphabet = {ord(a): b for a, b in zip(held.encode().decode("latin-1"), mapped)}
-        self.drops_space, self.most = drops_space, CACHE_PIECES
+        self.drops_space, self.most, self.most_idle = drops_space, CACHE_PIECES, IDLE_PIECES
         if drops_space:
-            self.runs, self.pieces = f"^{_SEEN}+$", re.compile(f"\0|[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
+            self.runs = f"^{_SEEN}+$"
         else:
             self.runs, self.pieces = f"^{_SEEN}(\n?{_SEEN})*\n?$", re.compile(f"\0| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
         self.known: dict[str, int] = {"\0": 0}
-        self.met: set[str] = set()
+        self.met: list[str] = []
         self.ids, self.used = np.empty(0, dtype=np.uint32), 0
         self.begin, self.size = (np.zeros(1, dtype=np.int64) for _ in range(2))
 
@@ -63,10 +66,10 @@ class Encoder:
         self.known = {"\0": 0} | dict(zip(pieces, range(1, len(at))))
 
     def idle(self) -> None:
-        """What comes up often comes up in any slice: only the last one's pieces are held between tasks."""
-        if len(self.known) > IDLE_PIECES:
-            self._keep(list(self.met - {"\0"}))
-        self.met = set()
+        """What comes up often comes up in any slice: only the last one's pieces are held between tasks, if all are too many."""
+        if len(self.known) > self.most_idle:
+            self._keep([x for x in self.met if x != "\0"])
+        self.met = []
         pa.default_memory_pool().release_unused()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -91,15 +94,20 @@ class Encoder:
 
     def _cut(self, runs: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids, and their number for each run, of runs with a zero byte after each."""
-        pieces = self.pieces.findall(runs.lower() if self.drops_space else runs)
-        own = set(pieces)
-        new = own - self.known.keys()
+        if self.drops_space:
+            own, where = _distinct(runs.lower())
+            pieces = own
+        else:
+            pieces, where = self.pieces.findall(runs), slice(None)
+            own = list(set(pieces))
+        new = [x for x in own if x not in self.known]
         if len(self.known) + len(new) > self.most:
-            # what comes up often comes up in this slice as well
-            self._keep(list(own - new - {"\0"}))
-        self._learn(list(new))
+            # what comes up often comes up in this slice as well, or in the one before where both fit
+            both = {**dict.fromkeys(self.met), **dict.fromkeys(own)} if self.drops_space and len(self.met) + len(own) <= self.most else own
+            self._keep([x for x in both if x in self.known and x != "\0"])
+        self._learn(new)
         self.met = own
-        at = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        at = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))[where]
         ids, ends = _gather(self.ids, self.begin[at], self.size[at])
         return ids, np.diff(ends[at == 0], prepend=0)
 
@@ -156,6 +164,23 @@ class Encoder:
         return np.concatenate(out), np.fromiter(map(len, out), dtype=np.int64, count=len(out))
 
 
+def _distinct(runs: str) -> tuple[list[str], np.ndarray]:
+    """The distinct pieces of lower-cased runs, and which of them stands at each place: zero bytes, words, single digits and rows of marks.
+
+    Arrow numbers them, so that no object is made of a piece that comes up again.
+    """
+    held = np.frombuffer(runs.encode(), dtype=np.uint8)
+    kinds = _KINDS[held]
+    first = (kinds == 2) | (kinds == 0)
+    first[:1] = True
+    first[1:] |= kinds[1:] != kinds[:-1]
+    begin = np.append(np.flatnonzero(first), len(held))
+    # the places of a slice's bytes pass 32 bits only with a text that does
+    kind, width = (pa.string(), np.int32) if len(held) < 1 << 31 else (pa.large_string(), np.int64)
+    coded = pa.Array.from_buffers(kind, len(begin) - 1, [None, pa.py_buffer(begin.astype(width)), pa.py_buffer(held)]).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+
+
 def _gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[b : b + n] of each b and n in a row, and where they end."""
     ends = np.cumsum(size)
@@ -170,13 +195,14 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return _LOADED[path]
 
 
-def encoded(batches, vocabulary: str, drops_space: bool, end: int, size: int = SLICE_BYTES, most: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches, vocabulary: str, drops_space: bool, end: int, size: int = SLICE_BYTES, most: int | None = None, idle: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches, which have a column text, with the ids of their texts in a row, each with the end id after it, and where each text's ids end.
 
     size: bytes of a slice. most: pieces that are remembered, CACHE_PIECES if not given. More of both is faster and holds more.
+    idle: pieces that are remembered between tasks, IDLE_PIECES if not given.
     """
     enc = encoder(vocabulary, drops_space)
-    enc.most = most or CACHE_PIECES
+    enc.most, enc.most_idle = most or CACHE_PIECES, idle or IDLE_PIECES
     for b in batches:
         texts = b.column(b.schema.get_field_index("text"))
         upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)

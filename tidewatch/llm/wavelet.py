@@ -33,7 +33,7 @@ FRAME = 1 << 13
 NULL_ID = -(1 << 63)
 #: A shard is closed after the document that takes it to so many ids.
 SHARD_IDS = 1 << 20
-#: Bytes of text that are encoded at a time, which is a shard's text or more, and pieces that a worker remembers.
+#: Bytes of text that are encoded at a time, which is a shard's text or more, and pieces that a worker remembers, between tasks as well.
 SLICE_BYTES, PIECES = 1 << 22, 300_000
 
 
@@ -151,14 +151,15 @@ class Wavelet:
 
     def decode(self) -> np.ndarray:
         """All ids in order: the planes undone from the last."""
-        ids = np.zeros(self.n, dtype=np.uint32)
+        kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
+        ids = np.zeros(self.n, dtype=kind)
         for k in range(len(self.zeros) - 1, -1, -1):
             held = [self._zstd.decompress(self.payload[a:b]) for a, b in zip(self.ends[k, :-1], self.ends[k, 1:])]
             on = np.unpackbits(np.frombuffer(b"".join(held), np.uint8), bitorder="little")[: self.n].astype(bool)
             # the order after plane k is its zeros and then its ones; put back what lower planes gave
-            back = np.empty(self.n, dtype=np.uint32)
+            back = np.empty(self.n, dtype=kind)
             z = self.zeros[k]
-            back[np.flatnonzero(~on)], back[np.flatnonzero(on)] = ids[:z], ids[z:] | np.uint32(1 << (len(self.zeros) - 1 - k))
+            back[np.flatnonzero(~on)], back[np.flatnonzero(on)] = ids[:z], ids[z:] | kind(1 << (len(self.zeros) - 1 - k))
             ids = back
         return ids
 
@@ -179,7 +180,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = WORD_BPE, end: in
             held = dump(np.concatenate(ids), np.concatenate(doc_ids), np.concatenate(lengths))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([held], pa.binary())], names=["part", "shard", "payload"])
 
-        for b, x, ends in encoded(batches, vocab, True, end, SLICE_BYTES, PIECES):
+        for b, x, ends in encoded(batches, vocab, True, end, SLICE_BYTES, PIECES, PIECES):
             part = b.column(2)[0].as_py()
             names, sizes = b.column(0).fill_null(NULL_ID).to_numpy(), np.diff(ends, prepend=0)
             at = 0
