@@ -55,21 +55,37 @@ def decoded(files: DataFrame, work: Callable[[str, pa.NativeFile], Iterator[pa.R
     return files.select("path").repartition(n, "path").mapInArrow(run, schema)
 
 
+def stored(folder: str, name: str, content: bytes) -> None:
+    """Writes a file below a folder, whole under its name or not at all."""
+    import pyarrow.fs
+
+    fs, to = pyarrow.fs.FileSystem.from_uri(f"{folder}/{name}" if "://" in folder or folder.startswith("file:") else f"file://{folder}/{name}")
+    fs.create_dir(to.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(to + ".part") as f:
+        f.write(content)
+    fs.move(to + ".part", to)
+
+
 def written(contents: DataFrame, folder: str) -> list[str]:
     """Writes (name, content binary) below a folder, each by the task that has it; a task that is tried again writes the same. The names, in order."""
     ship(contents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs
-
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                fs, to = pyarrow.fs.FileSystem.from_uri(f"{folder}/{name}" if "://" in folder or folder.startswith("file:") else f"file://{folder}/{name}")
-                fs.create_dir(to.rsplit("/", 1)[0], recursive=True)
-                # whole under its name, or not there
-                with fs.open_output_stream(to + ".part") as f:
-                    f.write(content)
-                fs.move(to + ".part", to)
+                stored(folder, name, content)
             yield pa.RecordBatch.from_arrays([b.column(0)], names=["name"])
 
     return sorted(r.name for r in contents.select("name", F.col("content").cast("binary")).mapInArrow(run, "name string").collect())
+
+
+def written_groups(rows: DataFrame, keys: list[str], make: Callable[[tuple, pa.Table], tuple[str, bytes]], folder: str) -> list[str]:
+    """As written, a file for each group of rows: make(key, rows) gives its name and content, and no task holds more than one group at a time."""
+    ship(rows.sparkSession)
+
+    def run(key: tuple, own: pa.Table) -> pa.Table:
+        name, content = make(tuple(k.as_py() for k in key), own)
+        stored(folder, name, content)
+        return pa.table({"name": [name]})
+
+    return sorted(r.name for r in rows.groupBy(*keys).applyInArrow(run, "name string").collect())
