@@ -162,7 +162,13 @@ def w16_quantile_bins(spark, sf):
 d AS (SELECT event_id, (onset_us - lag(onset_us) OVER (PARTITION BY event_id ORDER BY onset_us, o)) / 1e6 AS gap FROM n) SELECT event_id, count(*) FILTER (abs(gap - 600) <= 200) AS n_near FROM d GROUP BY event_id""")
 def w17_intervals_near_target(spark, sf):
     """How many intervals between neighbours within half an hour are near ten minutes."""
-    w = Window.partitionBy("mooring").orderBy("onset_us").rangeBetween(-1_800_000_000, 1_800_000_000)
-    c = catalogue(spark, sf).select("event_id", F.sort_array(F.collect_list("onset_us").over(w)).alias("t"))
-    gaps = F.zip_with(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: (a - b) / 1e6)
-    return c.select("event_id", F.size(F.filter(gaps, lambda g: F.abs(g - 600) <= 200)).cast("long").alias("n_near"))
+    half = 1_800_000_000
+    c = catalogue(spark, sf).where("mooring IS NOT NULL AND onset_us IS NOT NULL").select("event_id", "onset_us", "mooring")
+    gaps = scans.Scan(c, ["mooring"], _ORDER).previous("prev", "onset_us").rows().withColumn("prev", F.col("prev.onset_us"))
+    near = gaps.where(F.abs((F.col("onset_us") - F.col("prev")) / 1e6 - 600) <= 200)
+    # an interval is in the window of the events from half an hour before its end to half an hour after its beginning: it opens before these and closes after them
+    none = F.lit(None).cast("long").alias("event_id")
+    marks = c.select("mooring", F.col("onset_us").alias("t"), F.lit(1).alias("kind"), "event_id", F.lit(0).cast("long").alias("d"))
+    marks = marks.unionByName(near.select("mooring", (F.col("onset_us") - half).alias("t"), F.lit(0).alias("kind"), none, F.lit(1).cast("long").alias("d")))
+    marks = marks.unionByName(near.select("mooring", (F.col("prev") + half).alias("t"), F.lit(2).alias("kind"), none, F.lit(-1).cast("long").alias("d")))
+    return scans.Scan(marks, ["mooring"], ["t", "kind"]).running("d", "sum", "n_near").rows().where("kind = 1").select("event_id", "n_near")
