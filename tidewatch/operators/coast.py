@@ -1,7 +1,8 @@
 """Distance of places from polygons, and the rule that icequakes far from the coast need ice.
 
-Edges of polygons lie in tiles of the plane of degrees. A place looks in the nine tiles around it; an edge found no further off than a tile is wide is
+Edges of polygons lie in tiles of the plane of degrees and in the tiles around these. A place looks in its tile; an edge found no further off than a tile is wide is
 the nearest, as what was not looked at is further away. Places without one look again in tiles twice as wide.
+Equal places, and polygons that repeat one another, are looked at once.
 """
 
 from __future__ import annotations
@@ -28,11 +29,19 @@ def edges(vertices: DataFrame) -> DataFrame:
 
 def _tiled(of: DataFrame, tile: float, lo_y: Column, hi_y: Column, lo_x: Column, hi_x: Column) -> DataFrame:
     def span(lo: Column, hi: Column) -> Column:
-        return F.explode(F.sequence(F.floor(lo / tile), F.floor(hi / tile)))
+        return F.explode(F.sequence(F.floor(lo / tile) - 1, F.floor(hi / tile) + 1))
 
     return of.withColumn("_ty", span(lo_y, hi_y)).withColumn("_tx", span(lo_x, hi_x))
 
 
+def different(sides: DataFrame) -> DataFrame:
+    """Edges without those of polygons that repeat another one's, which decide nothing. Polygons are told apart by 128 bits of hashes of their edges."""
+    line = [F.col(c) for c in ("y1", "x1", "y2", "x2")]
+    marks = [F.sum(F.xxhash64(*line, F.lit(k)).cast("decimal(38,0)")).alias(f"_h{k}") for k in (1, 2)]
+    kept = sides.groupBy("poly").agg(F.count("*").alias("_n"), *marks).groupBy("_n", "_h1", "_h2").agg(F.min("poly").alias("poly"))
+    return sides.join(kept.select("poly"), "poly", "left_semi")
+
+
 def inside(points: DataFrame, sides: DataFrame, tile: float = TILE) -> DataFrame:
     """Ids of the points in a polygon: those east of which its edges cross the point's latitude an odd number of times."""
     strips = sides.where("y1 != y2").withColumn("_ty", F.explode(F.sequence(F.floor(F.least("y1", "y2") / tile), F.floor(F.greatest("y1", "y2") / tile))))
@@ -47,15 +56,17 @@ def nearest(points: DataFrame, vertices: DataFrame, tile: float = TILE) -> DataF
 
     Points without a place, and all points where there is no polygon, have null. Of equally near places the one of smallest latitude, then longitude.
     """
-    sides = keep(edges(vertices.where("lat IS NOT NULL AND lon IS NOT NULL")))
-    left = keep(points.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon").dropDuplicates(["id"]))
-    found = keep(left.join(inside(left, sides, tile), "id").select("id", F.col("lat").alias("near_lat"), F.col("lon").alias("near_lon"), F.lit(0.0).alias("degrees")))
-    if not sides.isEmpty():
-        left = left.join(found, "id", "left_anti")
+    sides = keep(different(edges(vertices.where("lat IS NOT NULL AND lon IS NOT NULL"))))
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
+    places = keep(points.where(known).select("lat", "lon").distinct().withColumn("id", F.monotonically_increasing_id()))
+    found = keep(places.join(inside(places, sides, tile), "id").select("id", F.col("lat").alias("near_lat"), F.col("lon").alias("near_lon"), F.lit(0.0).alias("degrees")))
+    lines = keep(sides.select("y1", "x1", "y2", "x2").distinct())
+    if not lines.isEmpty():
+        left = places.join(found, "id", "left_anti")
         while not (left := keep(left)).isEmpty():
-            own = F.floor(F.col("lat") / tile), F.floor(F.col("lon") / tile)
-            asked = left.withColumn("_ty", F.explode(F.sequence(own[0] - 1, own[0] + 1))).withColumn("_tx", F.explode(F.sequence(own[1] - 1, own[1] + 1)))
-            indexed = _tiled(sides, tile, F.least("y1", "y2"), F.greatest("y1", "y2"), F.least("x1", "x2"), F.greatest("x1", "x2"))
+            asked = left.withColumn("_ty", F.floor(F.col("lat") / tile)).withColumn("_tx", F.floor(F.col("lon") / tile))
+            # edges go to the tiles around theirs, as there are fewer of them than places
+            indexed = _tiled(lines, tile, F.least("y1", "y2"), F.greatest("y1", "y2"), F.least("x1", "x2"), F.greatest("x1", "x2"))
             dy, dx = F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")
             length = dy * dy + dx * dx
             share = F.when(length > 0, ((F.col("lat") - F.col("y1")) * dy + (F.col("lon") - F.col("x1")) * dx) / length).otherwise(0.0)
@@ -67,7 +78,7 @@ def nearest(points: DataFrame, vertices: DataFrame, tile: float = TILE) -> DataF
             found = found.unionByName(best)
             left = left.join(best, "id", "left_anti")
             tile *= 2
-    return points.join(found, "id", "left")
+    return points.join(places.join(found, "id").drop("id"), ["lat", "lon"], "left").select(*points.columns, "near_lat", "near_lon", "degrees")
 
 
 def coast_km(points: DataFrame, vertices: DataFrame, tile: float = TILE) -> DataFrame:
